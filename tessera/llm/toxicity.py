@@ -26,10 +26,10 @@ DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 STEM_BYTES = 4
-#: Labelled rows of each class that the model is fitted on at most, and bytes of text of each row's
+#: Labelled rows of each class that the model is fitted on at most, and characters of each row's
 #: that training reads at most (scoring reads all).
 MAX_ROWS = 2500
-MAX_TRAIN_BYTES = 20_000
+MAX_TRAIN_CHARS = 20_000
 THRESHOLD = 0.3
 
 
@@ -94,7 +94,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 3, epochs: int = 12, batch: int = 32, rate: float = 0.08) -> Network:
+def train(texts: list[str], labels: np.ndarray, seed: int = 3, epochs: int = 20, batch: int = 32, rate: float = 0.15) -> Network:
     """Fit by AdaGrad; only the words at the filters' maxima get gradients."""
     net, r = Network.new(seed), np.random.default_rng(seed)
     docs = [tokens(*V.texts(pa.array([t], pa.large_string())))[:2] for t in texts]
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = known.agg(F.avg("y"), F.count("*")).first()
     ranked = [known.where(F.col("y") == y).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max_rows) for y in (0, 1)]
     sample = ranked[0].unionByName(ranked[1])  # at most 2 * max_rows narrow rows
-    body = F.decode(F.substring(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8"), 1, MAX_TRAIN_BYTES), "utf-8") if False else F.substring(F.coalesce(F.col(text), F.lit("")), 1, MAX_TRAIN_BYTES)
+    body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, MAX_TRAIN_CHARS)
     rows = docs.select(key, body.alias("_x"), F.col(lang).alias("_lang")).join(F.broadcast(sample), key).orderBy(F.xxhash64(key, F.lit(seed + 1)), key).select("_x", "_lang", "y").limit(4 * max_rows).collect()
     y = np.array([r["y"] for r in rows])
     if not len(y) or y.min() == y.max():
