@@ -1,0 +1 @@
+"""Analytics on short numeric series and ordered outcomes, native to PySpark."""

@@ -1,0 +1 @@
+"""Named feature sets."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -20,3 +21,18 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{ROOT.name}", "zip", ROOT.parent, ROOT.name))
         _shipped.add(app)
     return spark
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """``df`` written once into the folder that the cluster names in ``spark.checkpoint.dir`` (a
+    temporary one only where it is unset), and read from there: the same rows each time, lost executors or not."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/pinned-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,0 +1 @@
+"""Readers, sinks and series."""

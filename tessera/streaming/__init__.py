@@ -1,0 +1 @@
+"""Empty: the surveyed capabilities hold no streaming operator."""
