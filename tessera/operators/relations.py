@@ -45,7 +45,7 @@ def nearest(train: DataFrame, test: DataFrame, id_col: str, vector: str, block:
     for i in range(blocks):
         part = train.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector).alias("v"))).alias("__part"))
         rows = test.crossJoin(F.broadcast(part))  # one row of about ``block`` vectors
-        far = lambda v: F.aggregate(F.zip_with(v, F.col(vector), lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+        far = lambda v: F.aggregate(F.zip_with(v, F.col(vector), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
         found = F.array_min(F.transform("__part", lambda p: F.struct(F.sqrt(far(p["v"])).alias("dist"), p["id"].alias("id"))))
         one = rows.select(id_col, found.alias("b"))
         best = one if best is None else best.unionByName(one)
