@@ -2,8 +2,7 @@
 
 One hash per shingle picks a bucket (top bits); of the rest a bucket keeps only what
 its smallest value shows in a few bits: the count of leading zeros and the mantissa
-bits that follow. Registers are banded as they are, so a band's key is the registers
-themselves, colliding documents are screened by a Jaccard estimate corrected for
+bits that follow. These compressed registers are banded, colliding documents are screened by a Jaccard estimate corrected for
 accidental register collisions, and what passes is confirmed on full shingle sets.
 
 The work per document is linear and no group of copies is expanded into pairs:
@@ -11,7 +10,7 @@ The work per document is linear and no group of copies is expanded into pairs:
 1. documents with the same set are one node (``groupBy`` on a 128-bit set identity);
 2. in each band bucket every node is compared with the bucket's smallest node only;
 3. after components over the confirmed links, only buckets that still hold several
-   components are compared further, in blocks of bounded size, exactly. A block's links
+   components are compared further, across components, in blocks of bounded size, exactly. A block's links
    are emitted as a spanning forest.
 """
 
@@ -30,26 +29,29 @@ from .components import components
 from .store import Workspace
 
 U64 = np.uint64
-BUCKET_BITS = 7  # 128 registers
+BUCKET_BITS = 8
+REGISTERS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
-ROWS = 4  # 16-bit registers in a band's 64-bit key
-BANDS = (1 << BUCKET_BITS) // ROWS
-#: A pair at the threshold is missed with probability (1 - 0.8**4)**32, below 1e-7.
+ROWS, BANDS = 6, 42
+#: A pair at 0.8 shares no band with probability (1 - 0.8**6)**42, below 3e-6; one at 0.3 shares one with 0.03.
+_order = np.random.default_rng(6).permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1)
 BLOCK = 256  # nodes on a side of a block of the exact step
 
 
 def registers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers, a row of 128 per set; 0 marks an empty bucket.
+    """HyperMinHash registers, a row per set; only empty sets have 0.
 
-    ``values`` are sorted within each set, so a bucket's first value is its smallest.
-    A register is ``(leading zeros + 1) << 10 | mantissa`` of the value's lower bits."""
+    ``values`` are sorted within each set, so a bucket's first value is its smallest. A register is
+    ``(leading zeros + 1) << 10 | mantissa`` of the value's lower bits. A bucket without a value borrows the
+    register of another, the first that has one in an order fixed for each bucket: so short
+    sets' registers agree with the same probability as long ones'."""
     n = len(bounds) - 1
-    out = np.zeros((n, 1 << BUCKET_BITS), np.uint16)
+    out = np.zeros((n, REGISTERS), np.uint16)
     if not len(values):
         return out
     owner = np.repeat(np.arange(n), np.diff(bounds))
     bucket = (values >> U64(64 - BUCKET_BITS)).astype(np.int64)
-    cell = owner * (1 << BUCKET_BITS) + bucket
+    cell = owner * REGISTERS + bucket
     first = np.ones(len(cell), bool)
     first[1:] = cell[1:] != cell[:-1]
     rest = (values[first] << U64(BUCKET_BITS)) >> U64(12)  # 52 bits: exact as a double
@@ -57,12 +59,31 @@ def registers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     zeros = np.minimum(52 - exponent, 52 - MANTISSA_BITS)
     mantissa = (rest >> np.maximum(51 - zeros - MANTISSA_BITS, 0).astype(U64)) & U64((1 << MANTISSA_BITS) - 1)
     out.reshape(-1)[cell[first]] = ((zeros.astype(U64) + U64(1)) << U64(MANTISSA_BITS) | mantissa).astype(np.uint16)
+    row, col = np.nonzero((out == 0) & (np.diff(bounds) > 0)[:, None])
+    own = out.copy()
+    for step in range(REGISTERS):
+        if not len(row):
+            break
+        found = own[row, _order[col, step]]
+        out[row, col] = found
+        row, col = row[found == 0], col[found == 0]
     return out
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A 64-bit key for every band of each row of registers."""
+    keys = np.empty((len(regs), BANDS), U64)
+    for j in range(BANDS):
+        h = np.full(len(regs), j + 1, U64)
+        for i in range(ROWS):
+            h = V.mix(h) ^ regs[:, j * ROWS + i].astype(U64)
+        keys[:, j] = V.mix(h)
+    return keys
+
+
 def chance(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Probability that two independent sets' registers agree by accident."""
-    a, b = (np.maximum(x, 1) / (1 << BUCKET_BITS) for x in (na, nb))
+    """Probability that registers of two independent sets agree by accident."""
+    a, b = (np.maximum(x / REGISTERS, 1.0) for x in (na, nb))
     total = np.zeros(len(a))
     for i in range(1, 40):
         width = 2.0 ** -(i + MANTISSA_BITS)
@@ -70,27 +91,28 @@ def chance(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return total
 
 
-def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimates of aligned register rows, and the registers that count."""
-    used = ((ra | rb) != 0).sum(1)
-    same = ((ra == rb) & (ra != 0)).sum(1)
+def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Collision-corrected Jaccard estimates of aligned register rows."""
     p = chance(na, nb)
-    return (same - used * p) / np.maximum(used * (1 - p), 1e-9), used
+    return ((ra == rb).mean(1) - p) / (1 - p)
 
 
 def passes(ra, rb, na, nb, threshold: float) -> np.ndarray:
-    """Pairs whose estimate is not six standard errors below the threshold."""
-    found, used = estimate(ra, rb, na, nb)
-    return found >= threshold - 6 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
+    """Pairs whose estimate is not five standard errors below the threshold. The error is that of as
+    many draws as the larger set fills buckets, and of the borrowed registers besides."""
+    larger = np.maximum(na, nb)
+    filled = REGISTERS * -np.expm1(-larger / REGISTERS)
+    error = np.sqrt(threshold * (1 - threshold) * (1 / np.maximum(filled, 1) + 1 / REGISTERS))
+    return estimate(ra, rb, na, nb) >= threshold - 5 * error
 
 
 def _registers_of(column: pd.Series | pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else np.concatenate([*map(np.asarray, column)] or [np.empty(0, np.int64)])
-    return np.ascontiguousarray(flat, np.int64).view(np.uint16).reshape(-1, 1 << BUCKET_BITS)
+    raw = b"".join(column.to_pylist() if isinstance(column, pa.Array) else column)
+    return np.frombuffer(raw, np.uint16).reshape(-1, REGISTERS)
 
 
 def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """``key``, ``n`` (set size), ``s1``/``s2`` (identity of the set) and ``regs`` (band keys)."""
+    """``id``, ``n`` (set size), ``s1``/``s2`` (identity of the set) and ``regs`` (registers as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,14 +123,14 @@ def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 np.cumsum(V.mix(h ^ U64(0x1F83D9ABFB41BD6B)), out=total[0, 1:])
                 np.cumsum(V.mix(h ^ U64(0x5BE0CD19137E2179)), out=total[1, 1:])
                 s1, s2 = ((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
-                regs = registers(h, bounds).view(np.int64).reshape(-1)
+                regs = [r.tobytes() for r in registers(h, bounds)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), V.lists(regs, np.arange(b - a + 1) * BANDS, pa.int64())],
+                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.array(regs, pa.binary())],
                     ["id", "n", "s1", "s2", "regs"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, regs array<long>")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, regs binary")
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
@@ -123,6 +145,18 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, items array<long>")
 
 
+def collisions(reps: DataFrame) -> DataFrame:
+    """``id`` and key ``k`` of every band."""
+    kind = reps.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keys = band_keys(_registers_of(x.column(1)))
+            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS))), pa.array(keys.view(np.int64).reshape(-1))], ["id", "k"])
+
+    return reps.where("n > 0").select("id", "regs").mapInArrow(run, f"id {kind}, k long")
+
+
 def screen(pairs: DataFrame, reps: DataFrame, kind: str, threshold: float) -> DataFrame:
     """Candidate pairs ``a``, ``b`` whose registers don't rule the link out."""
 
@@ -145,41 +179,55 @@ def confirm(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return joined.where(f"100L * x >= {percent}L * (t - x)").select("a", "b")
 
 
-def _forest(x: pd.DataFrame, percent: int) -> Iterator[tuple]:
-    """Links found in a block among nodes of different components, as a spanning forest."""
-    ids, comp, got = x["id"].tolist(), x["comp"].tolist(), [np.asarray(v) for v in x["items"]]
-    root = {c: c for c in comp}
-
-    def find(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    order = sorted(range(len(ids)), key=lambda i: len(got[i]))
-    for i, p in enumerate(order):
-        for q in order[i + 1 :]:
-            if 100 * len(got[p]) < percent * len(got[q]):
-                break  # sets are in order of size: no larger one can reach the threshold
-            if find(comp[p]) != find(comp[q]):
-                both = len(np.intersect1d(got[p], got[q], assume_unique=True))
-                if 100 * both >= percent * (len(got[p]) + len(got[q]) - both):
-                    root[find(comp[p])] = find(comp[q])
-                    yield ids[p], ids[q]
-
-
 def residual_blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """What stars can't show: buckets of three nodes or more (``k``, ``m``, ``id``) that hold several
-    components, in blocks ``k``, ``i``, ``j`` of at most about twice ``BLOCK`` nodes that together hold every pair.
-    One bucket stands for all with the same members."""
-    named = buckets.where("m > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select("k", "m", "id", F.coalesce("component", "id").alias("comp"))
+    """What stars can't show: buckets of three nodes or more (``k``, ``m``, ``id``) that hold several components.
+
+    Nodes outside a bucket's largest component seek, and all its nodes are sought: blocks ``k``, ``i``, ``j`` of about
+    ``BLOCK`` seekers and twice as many sought together hold every pair of different components. The
+    largest component's nodes don't meet each other. One bucket stands for all with the same members."""
+    named = buckets.where("m > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("component", "id").alias("comp"))
     members = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64(F.lit(7), "id").cast("decimal(20)")).alias("s")]
     mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members)
     mixed = mixed.where("lo <> hi").groupBy("x", "m", "s").agg(F.min("k").alias("k")).select("k")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    blocks = named.join(mixed, "k").select("k", "id", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    return blocks.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp")
+    chosen = named.join(mixed, "k")
+    sizes = chosen.groupBy("k", "comp").agg(F.count("*").alias("c")).groupBy("k").agg(F.max_by("comp", F.struct("c", "comp")).alias("lead"), F.sum("c").alias("m"), F.max("c").alias("big"))
+    rows = chosen.join(sizes, "k")
+    si, tj = F.ceil((F.col("m") - F.col("big")) / BLOCK).cast("int"), F.ceil(F.col("m") / (2 * BLOCK)).cast("int")
+    i, j = F.pmod(F.xxhash64("id"), si).cast("int"), F.pmod(F.xxhash64("id"), tj).cast("int")
+    place = lambda x, y, seeks: F.struct(x.cast("int").alias("i"), y.cast("int").alias("j"), F.lit(seeks).alias("seeks"))
+    sought = F.transform(F.sequence(F.lit(0), si - 1), lambda x: place(x, j, False))
+    seeking = F.transform(F.sequence(F.lit(0), tj - 1), lambda y: place(i, y, True))
+    places = F.when(F.col("comp") == F.col("lead"), sought).otherwise(F.concat(sought, seeking))
+    return rows.select("k", "id", "comp", F.explode(places).alias("p")).select("k", "p.i", "p.j", "p.seeks", "id", "comp")
+
+
+def _pairs(x: pd.DataFrame, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For every seeker of a block the sought rows of other components that the registers don't rule out."""
+    ids, comp, seeks, n = x["id"].to_numpy(), pd.factorize(x["comp"])[0], x["seeks"].to_numpy(bool), x["n"].to_numpy(float)
+    regs = _registers_of(x["regs"]) if "regs" in x else None
+    for p in np.flatnonzero(seeks):
+        other = np.flatnonzero(~seeks & (comp != comp[p]) & (ids != ids[p]) & (np.minimum(n, n[p]) >= threshold * np.maximum(n, n[p])))
+        if regs is not None and len(other):
+            other = other[passes(np.broadcast_to(regs[p], (len(other), REGISTERS)), regs[other], np.full(len(other), n[p]), n[other], threshold)]
+        yield p, other
+
+
+def _forest(x: pd.DataFrame, percent: int) -> Iterator[tuple]:
+    """Links found in a block among nodes of different components, as a spanning forest."""
+    ids, items = x["id"].tolist(), [np.asarray(v, np.int64) for v in x["items"]]
+    x = x.assign(n=[len(v) for v in items])
+    root, size = pd.factorize(x["comp"])[0], x["n"].to_numpy()
+    for p, other in _pairs(x, percent / 100):
+        other = other[root[other] != root[p]]
+        if not len(other) or not size[p]:
+            continue
+        flat = np.concatenate([items[q] for q in other])
+        at = np.minimum(np.searchsorted(items[p], flat), size[p] - 1)
+        both = np.bincount(np.repeat(np.arange(len(other)), size[other]), items[p][at] == flat, len(other))
+        for q in other[100 * both >= percent * (size[p] + size[other] - both)]:
+            if root[q] != root[p]:
+                root[root == root[q]] = root[p]
+                yield ids[p], ids[q]
 
 
 def spanning(blocks: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -199,7 +247,7 @@ def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], ws: Workspace
     ``component`` of linked nodes."""
     kind = reps.schema["id"].dataType.simpleString()
     threshold = percent / 100
-    rows = reps.where("n > 0").select("id", F.posexplode("regs").alias("band", "key")).where("key <> 0").select("id", F.xxhash64("band", "key").alias("k"))
+    rows = collisions(reps)
     heads = rows.groupBy("k").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1")
     buckets = ws.save(rows.join(heads, "k"), "buckets")
     pairs = buckets.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
@@ -213,24 +261,21 @@ def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], ws: Workspace
     blocks = residual_blocks(buckets, labels)
 
     def hopeful(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        regs, n, comp = _registers_of(x["regs"]), x["n"].to_numpy(float), pd.factorize(x["comp"])[0]
         alive = np.zeros(len(x), bool)
-        for p in range(len(x)):
-            other = np.flatnonzero(comp != comp[p])
-            other = other[other > p]
-            other = other[passes(regs[np.full(len(other), p)], regs[other], np.full(len(other), n[p]), n[other], threshold)]
+        for p, other in _pairs(x, threshold):
             alive[other] = True
             alive[p] |= len(other) > 0
-        return x.loc[alive, ["k", "i", "j", "id", "comp"]]
+        return x.loc[alive, ["k", "i", "j", "seeks", "id", "comp"]]
 
-    shape = f"k long, i int, j int, id {kind}, comp {kind}"
-    alive = ws.save(blocks.join(reps.select("id", "n", "regs"), "id").groupBy("k", "i", "j").applyInPandas(hopeful, shape), "alive")
+    shape = f"k long, i int, j int, seeks boolean, id {kind}, comp {kind}"
+    sketched = reps.select("id", "n", "regs")
+    alive = ws.save(blocks.join(sketched, "id").groupBy("k", "i", "j").applyInPandas(hopeful, shape), "alive")
     ws.drop("buckets", "pairs", "items")
     if alive.isEmpty():
         return labels
     items = ws.save(fetch(alive.select("id").distinct()), "items2")
 
-    more = spanning(alive, items, percent)
+    more = spanning(alive.join(sketched, "id"), items, percent)
     every = ws.save(edges.unionByName(more), "edges2")
     ws.drop("items2", "alive")
     return ws.save(components(every, ws, "cc2"), "labels2")

@@ -225,10 +225,24 @@ def test_estimates():
     common, a, b = (r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) for n in (8000, 1000, 1000))
     x, y = (np.unique(np.r_[common, s]) for s in (a, b))
     regs = neardup.registers(np.r_[x, y], np.r_[0, len(x), len(x) + len(y)])
-    got, used = neardup.estimate(regs[:1], regs[1:], np.array([len(x)]), np.array([len(y)]))
-    assert used[0] == 128 and abs(got[0] - 0.8) < 0.12
+    got = neardup.estimate(regs[:1], regs[1:], np.array([len(x)]), np.array([len(y)]))
+    assert abs(got[0] - 0.8) < 0.12
     far = neardup.registers(np.r_[np.sort(a), np.sort(b)], np.r_[0, 1000, 2000])
-    assert abs(neardup.estimate(far[:1], far[1:], np.array([1000]), np.array([1000]))[0][0]) < 0.03
+    assert abs(neardup.estimate(far[:1], far[1:], np.array([1000]), np.array([1000]))[0]) < 0.03
+
+
+@pytest.mark.parametrize("shared, own", [(4, 1), (16, 2), (80, 10), (800, 100)])
+def test_pairs_at_the_threshold_share_a_band_and_pass(shared, own):
+    r = np.random.default_rng(shared)
+    n, missed = 300, 0
+    for _ in range(n):
+        v = r.integers(0, 2**63, shared + 2 * own, dtype=np.uint64) * np.uint64(2)
+        x, y = np.sort(v[: shared + own]), np.sort(np.r_[v[:shared], v[shared + own :]] if own > 1 else v[:shared])
+        regs = neardup.registers(np.r_[x, y], np.r_[0, len(x), len(x) + len(y)])
+        keys = neardup.band_keys(regs)
+        size = lambda z: np.array([len(z)], float)
+        missed += not (keys[0] == keys[1]).any() or not neardup.passes(regs[:1], regs[1:], size(x), size(y), 0.8)[0]
+    assert missed == 0
 
 
 # -- 2: repeated passages --------------------------------------------------------------------
