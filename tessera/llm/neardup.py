@@ -214,7 +214,7 @@ def _pairs(x: pd.DataFrame, threshold: float) -> Iterator[tuple[int, np.ndarray]
 
 def _forest(x: pd.DataFrame, percent: int) -> Iterator[tuple]:
     """Links found in a block among nodes of different components, as a spanning forest."""
-    ids, items = x["id"].tolist(), [np.asarray(v, np.int64) for v in x["items"]]
+    ids, items = x["id"].tolist(), [np.asarray(v, np.int64).view(U64) for v in x["items"]]  # sorted as unsigned
     x = x.assign(n=[len(v) for v in items])
     root, size = pd.factorize(x["comp"])[0], x["n"].to_numpy()
     for p, other in _pairs(x, percent / 100):

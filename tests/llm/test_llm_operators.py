@@ -220,6 +220,19 @@ def test_blocks_are_exact(spark, monkeypatch):
     assert Counter(rows_of(neardup.near_duplicates(table))) == plain_components(table)
 
 
+def test_seekers_find_their_only_link():
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    v = r.integers(0, 2**64, 1000, dtype=np.uint64)
+    a, b, far = np.sort(v[:100]), np.sort(np.r_[v[:95], v[200:205]]), np.sort(v[500:600])
+    rows = [(1, 1, True, a), (1, 1, False, a), (2, 2, False, b), (3, 3, False, far), (3, 3, True, far)]
+    block = pd.DataFrame(rows, columns=["id", "comp", "seeks", "items"]).assign(items=lambda x: [i.view(np.int64) for i in x["items"]])
+    assert list(neardup._forest(block, 80)) == [(1, 2)]
+    block["regs"] = [x.tobytes() for x in neardup.registers(np.concatenate([i.view(np.uint64) for i in block["items"]]), np.arange(6) * 100)]
+    assert list(neardup._forest(block, 80)) == [(1, 2)]
+
+
 def test_estimates():
     r = np.random.default_rng(1)
     common, a, b = (r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) for n in (8000, 1000, 1000))
