@@ -79,9 +79,19 @@ def anchors(w: V.Words) -> tuple[np.ndarray, np.ndarray]:
     return h[chosen], at[chosen]
 
 
+def _first(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of a text's paragraphs are the first of their kind in it (places ascend)."""
+    order = np.lexsort((h, doc))
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1])
+    out = np.zeros(len(h), bool)
+    out[order[new]] = True
+    return out
+
+
 def units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per paragraph: ``doc``, ``kind`` (line or window), ``start``, ``end`` (code points),
-    ``words``, identity ``s1``/``s2`` and band keys ``keys`` (none for windows)."""
+    """One row per paragraph: ``doc``, ``first`` (of its kind in the text), ``start``, ``end`` (code points), ``words``,
+    identity ``s1``/``s2``, band keys ``keys`` (none for windows) and whether it is a ``window``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,49 +119,46 @@ def units(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(rows)),
-                        pa.array(np.r_[np.zeros(len(long), bool), np.ones(len(wh), bool)]),
+                        pa.array(np.r_[_first(ld, s1), _first(v.doc[wa], wh)]),
                         pa.array((points[start] - base).astype(np.int32)),
                         pa.array((points[np.r_[le, we]] - base).astype(np.int32)),
                         pa.array(np.r_[lw, np.full(len(wh), WIDTH)].astype(np.int32)),
                         pa.array(np.r_[s1, wh.view(np.int64)]),
-                        pa.array(np.r_[s2, V.mix(wh ^ U64(0x6A09E667F3BCC908)).view(np.int64)]),
+                        pa.array(np.r_[s2, (V.mix(wh ^ U64(0x6A09E667F3BCC908)) >> U64(32)).view(np.int64)]),
                         V.lists(keys.reshape(-1), np.r_[np.arange(len(long) + 1) * BANDS, np.full(len(wh), len(long) * BANDS)], pa.int64()),
+                        pa.array(np.r_[np.zeros(len(long), bool), np.ones(len(wh), bool)]),
                     ],
-                    ["doc", "window", "start", "end", "words", "s1", "s2", "keys"],
+                    ["doc", "first", "start", "end", "words", "s1", "s2", "keys", "window"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    shape = f"doc {kind}, window boolean, start int, end int, words int, s1 long, s2 long, keys array<long>"
+    shape = f"doc {kind}, first boolean, start int, end int, words int, s1 long, s2 long, keys array<long>, window boolean"
     return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null").mapInArrow(run, shape)
 
 
 def _paragraph_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Shingle sets ``items`` of the paragraphs ``wanted`` (id as document and start)."""
-    kind = docs.schema[key].dataType.simpleString()
+    """Shingle sets ``items`` of the paragraphs ``wanted`` (``id``, ``doc``, ``start``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, data, offsets in V.chunks(batch.column(1)):
+            for a, _, data, offsets in V.chunks(batch.column(0)):
                 points = V.code_points(data)
                 bounds, owner = _line_offsets(data, offsets)
                 w = V.words(data, bounds)
                 h, b = w.shingles(K)
-                asked = [set(x) for x in batch.column(2).slice(a, len(offsets) - 1).to_pylist()]
-                rows, items = [], []
+                asked = [{x["start"]: x["id"] for x in row} for row in batch.column(1).slice(a, len(offsets) - 1).to_pylist()]
+                ids, items = [], []
                 for i in np.flatnonzero(w.counts >= MIN_WORDS).tolist():
                     at = int(points[w.start[w.first[i]]] - points[offsets[owner[i]]])
                     if at in asked[owner[i]]:
-                        rows.append((int(owner[i]) + a, at))
+                        ids.append(asked[owner[i]][at])
                         items.append(h[b[i] : b[i + 1]].view(np.int64))
                 flat = np.concatenate(items) if items else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([r for r, _ in rows], pa.int64())), pa.array([x for _, x in rows], pa.int32()), V.lists(flat, np.r_[0, np.cumsum([len(x) for x in items])].astype(np.int64), pa.int64())],
-                    ["doc", "start", "items"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), V.lists(flat, np.r_[0, np.cumsum([len(x) for x in items])].astype(np.int64), pa.int64())], ["id", "items"])
 
-    starts = wanted.groupBy("doc").agg(F.collect_set("start").alias("starts"))
+    starts = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "id")).alias("starts"))
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(starts, "doc")
-    return rows.select("doc", "text", "starts").mapInArrow(run, f"doc {kind}, start int, items array<long>")
+    return rows.select("text", "starts").mapInArrow(run, "id long, items array<long>")
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -163,47 +170,46 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     and then to the earliest place. An empty table gives no row.
 
     Returns the key, ``start``, ``end`` (code points; overlapping windows of a document are merged),
-    ``n_words`` (of its largest paragraph), ``component_id`` (key and start, as text, of its first paragraph's
-    first place) and ``kept`` (the passage is that place).
+    ``n_words`` (of its largest paragraph), ``component_id`` (of its first paragraph: the key of the first document and
+    the start there of a line, or a window's hash, as text) and ``kept`` (the passage is the first place).
     """
     ws = Workspace(docs.sparkSession, "paragraphs")
-    base = ws.save(units(docs, key, text), "units")
-    id_of = lambda d, s: F.concat_ws(":", F.col(d), F.col(s))
+    base = ws.save(units(docs, key, text), "units", by="window")
+    lines, windows = base.where("not window"), base.where("window").drop("keys")
 
-    # Equal paragraphs and windows: one class each, told by its 128-bit identity.
-    place = F.min(F.struct("doc", "start"))
-    classes = base.groupBy("s1", "s2", "window").agg(place.alias("rep"), F.max("doc").alias("hi"), F.first("keys").alias("keys"), F.max("words").alias("words"))
-    classes = ws.save(classes.select("s1", "s2", "window", "rep.doc", "rep.start", "hi", "keys", "words").where("not window or doc < hi"), "classes")
+    # Equal lines are one class, numbered once its table is written.
+    classes = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "start")).alias("rep"), F.max("doc").alias("last"), F.first("keys").alias("keys"))
+    classes = ws.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    # Near copies among line classes: each against the least of its bucket, then among what remains apart.
-    rows = classes.where("not window").select(id_of("doc", "start").alias("id"), "doc", "start", F.posexplode("keys").alias("band", "key")).select("id", "doc", "start", F.xxhash64("band", "key").alias("k"))
+    # Near copies: each class against the least of its bucket, then among what remains apart.
+    rows = classes.select("id", F.explode("keys").alias("k"))
     heads = rows.groupBy("k").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1")
     buckets = ws.save(rows.join(heads, "k"), "buckets")
-    wanted = ws.save(buckets.select("doc", "start").distinct(), "wanted")
-    items = ws.save(_paragraph_sets(docs, key, text, wanted).select(id_of("doc", "start").alias("id"), "items"), "items")
+    wanted = classes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "rep.doc", "rep.start")
+    items = ws.save(_paragraph_sets(docs, key, text, wanted), "items")
     pairs = buckets.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     edges = ws.save(confirm(pairs, items, percent), "edges")
     labels = ws.save(components(edges, ws), "labels")
     labels = _rest(buckets, labels, items, edges, ws, percent)
 
     # A component keeps its first place; what it repeats in another document is shown.
-    named = classes.withColumn("id", id_of("doc", "start")).join(labels.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("s1", "s2", "window", "doc", "start", "hi", F.when(~F.col("window"), F.col("component")).alias("near"))
-    near = named.where("near is not null").groupBy("near").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("hi").alias("last"))
-    shared = named.join(near, "near", "left").withColumns({"first": F.coalesce("first", F.struct("doc", "start")), "last": F.coalesce("last", "hi")})
-    shared = shared.where("first.doc < last").select("s1", "s2", "window", F.col("first.doc").alias("fdoc"), F.col("first.start").alias("fstart"))
-    places = base.drop("keys").join(shared, ["s1", "s2", "window"]).withColumn("kept", F.expr("doc = fdoc and start = fstart"))
+    named = classes.drop("keys").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("near", F.coalesce("component", "id"))
+    spans = named.groupBy("near").agg(F.min("rep").alias("first_place"), F.max("last").alias("last_doc")).where("first_place.doc < last_doc")
+    shared = named.join(spans, "near").select("s1", "s2", F.col("first_place.doc").alias("fdoc"), F.col("first_place.start").alias("fstart"))
+    places = lines.drop("keys").join(shared, ["s1", "s2"]).select("doc", "start", "end", "words", "fdoc", F.concat_ws(":", "fdoc", "fstart").alias("id"), F.expr("doc = fdoc and start = fstart").alias("kept"))
+    shared = windows.groupBy("s1", "s2").agg(F.min("doc").alias("fdoc"), F.max("doc").alias("last")).where("fdoc < last").drop("last")
+    inside = windows.join(shared, ["s1", "s2"]).select("doc", "start", "end", "words", "fdoc", F.concat_ws(":", "fdoc", F.hex("s1")).alias("id"), (F.expr("doc = fdoc") & F.col("first")).alias("kept"))
+    places = places.unionByName(inside)
 
     # Paragraphs of a document that overlap, and share a fate, are one passage.
     order = W.partitionBy("doc", "kept").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = places.withColumn("new", F.when(reach > F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     out = islands.groupBy("doc", "kept", "island").agg(
-        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.max("words").cast("long").alias("n_words"),
-        F.min(F.struct("start", "end", F.concat_ws(":", "fdoc", "fstart").alias("id"))).alias("at"),
-    )
-    out = ws.save(out.select(F.col("doc").alias(key), "start", "end", "n_words", F.col("at.id").alias("component_id"), "kept"), "passages")
-    ws.drop("units", "classes", "buckets", "wanted", "items", "edges", "labels", "blocks", "edges2")
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.max("words").cast("long").alias("n_words"), F.min_by("id", F.struct("start", "end", "id")).alias("component_id")
+    )
+    out = ws.save(out.select(F.col("doc").alias(key), "start", "end", "n_words", "component_id", "kept"), "passages")
+    ws.drop("units", "classes", "buckets", "items", "edges", "labels", "blocks", "edges2")
     return out
 
 

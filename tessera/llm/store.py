@@ -44,10 +44,10 @@ class Workspace:
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return a frame that reads what was written."""
-        path = self.folder(name)
-        df.write.option("compression", "zstd").parquet(path)
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df`` once, in a folder per value of ``by`` if given, and return a frame that reads it."""
+        path, writer = self.folder(name), df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
