@@ -108,26 +108,29 @@ def route(patterns: Sequence[tuple[tuple[int, ...], int]], quotas: Sequence[int]
     return [sum(net.cap[e ^ 1] for e in own) for own in arcs]
 
 
-def take(rows: DataFrame, ws: Workspace, passes: int = PASSES) -> DataFrame:
-    """``taken`` per row of ``rows`` (``pattern``, ``size``, ``gives``, ``whole``, ``order``: hex digits).
-
-    A pattern's words ``gives`` are so many passes over all its ``whole`` words and a rest. The rest is
-    read in seeded order: bins of the order's first digits are summed per pattern, and rows are
-    put in order only within the bin in which the rest ends. The row in which it ends gives the words
-    that are missing, so quotas are met to the word."""
-    full = F.floor(F.try_divide("gives", "whole")).cast("long")
-    rows = rows.withColumns({"__full": F.coalesce(full, F.lit(0)), "__bin": F.substring("order", 1, DIGITS)}).withColumn("__rest", F.col("gives") - F.col("__full") * F.col("whole"))
-    bins = rows.groupBy("pattern", "__bin").agg(F.sum("size").alias("__s"))
-    before = F.coalesce(F.sum("__s").over(W.partitionBy("pattern").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.withColumn("__before", before)
-    joined = rows.alias("r").join(bins.select(F.col("pattern").alias("__p"), F.col("__bin").alias("__b"), "__before", "__s"), F.expr("pattern = __p and __bin = __b")).drop("__p", "__b")
-    cut = (F.col("__before") < F.col("__rest")) & (F.col("__before") + F.col("__s") > F.col("__rest"))
-    plain = joined.where(~cut).withColumn("__extra", F.when(F.col("__before") < F.col("__rest"), F.col("size")).otherwise(0))
-    run = F.sum("size").over(W.partitionBy("pattern").orderBy("order", "key", "size").rowsBetween(W.unboundedPreceding, -1))
-    inside = joined.where(cut).withColumn("__at", F.col("__before") + F.coalesce(run, F.lit(0)))
-    inside = inside.withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__at")))).drop("__at")
-    out = plain.unionByName(inside)
-    return out.withColumn("taken", (F.col("__full") * F.col("size") + F.col("__extra")).cast("long")).drop(*[c for c in out.columns if c.startswith("__")])
+def cuts(rows: DataFrame) -> DataFrame:
+    """Where each pattern's rest ends: ``pattern``, ``cut_order``, ``cut_size``, ``left`` words and ``ties``.
+
+    ``rows`` have ``pattern``, ``size``, ``order`` (hex digits) and ``rest``, the words that the pattern gives beyond
+    its full passes. Sizes are summed in bins of the order's first digits, and rows are put in order only
+    within the bin in which the rest ends. Patterns without a rest have no row."""
+    rows = rows.where("rest > 0 and size > 0").withColumn("bin", F.substring("order", 1, DIGITS))
+    bins = rows.groupBy("pattern", "bin", "rest").agg(F.sum("size").alias("s"))
+    over = lambda order: W.partitionBy("pattern").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("s").over(over(["bin"])), F.lit(0))).where("before < rest and rest <= before + s")
+    inside = rows.join(bins.select("pattern", "bin", "before"), ["pattern", "bin"]).groupBy("pattern", "rest", "before", "order", "size").agg(F.count("*").alias("ties"))
+    inside = inside.withColumn("at", F.col("before") + F.coalesce(F.sum(F.col("ties") * F.col("size")).over(over(["order", "size"])), F.lit(0)))
+    last = inside.where("at < rest and rest <= at + ties * size")
+    return last.select("pattern", F.col("order").alias("cut_order"), F.col("size").alias("cut_size"), (F.col("rest") - F.col("at")).alias("left"), "ties")
+
+
+def taken() -> Column:
+    """Words taken of a row: full passes, and one more of the rows that come before the cut; the row at
+    the cut gives the words that are missing, in equal parts if it is repeated."""
+    here = F.struct(F.col("order").alias("o"), F.col("size").alias("s"))
+    cut = F.struct(F.col("cut_order").alias("o"), F.col("cut_size").alias("s"))
+    extra = F.when(F.col("cut_order").isNull(), 0).when(here < cut, F.col("size")).when(here == cut, F.floor(F.col("left") / F.col("ties"))).otherwise(0)
+    return (F.col("passes") * F.col("size") + extra).cast("long")
 
 
 def _measure(text: Column) -> Column:
@@ -147,15 +150,15 @@ def mix(
 
     Returns the key, ``size``, ``source_size``, ``target``, ``taken`` and the columns ``carry``."""
     ws = Workspace(docs.sparkSession, "mix")
+    spark = docs.sparkSession
     many = docs.schema[source].dataType.typeName() == "array"
     names = F.coalesce(F.array_sort(F.array_distinct(F.col(source))), F.array().cast("array<string>")) if many else F.array(F.col(source))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col(key).alias("key"), *[F.col(c).alias(f"c_{c}") for c in carry], names.alias("members"), _measure(F.col(text)).alias("size"), order.alias("order"))
     # a pattern's name tells null and separators inside names apart
-    rows = ws.save(rows.withColumn("pattern", F.to_json(F.struct(F.transform("members", lambda x: F.struct(x.alias("s"))).alias("m")))), "rows")
+    pattern = F.to_json(F.struct(F.transform(names, lambda x: F.struct(x.alias("s"))).alias("m")))
+    measured = docs.select(F.col(key).alias("key"), *[F.col(c).alias(f"c_{c}") for c in carry], names.alias("members"), pattern.alias("pattern"), _measure(F.col(text)).alias("size"), order.alias("order"))
+    rows = ws.save(measured.select("key", "members", "pattern", "size", "order"), "rows")
     found = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("whole")).collect()
-    if not found:
-        return rows.select(F.col("key").alias(key), "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"), *[F.col(f"c_{c}").alias(c) for c in carry])
     known = sorted({s for x in found for s in x["members"]}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
     place = {s: i for i, s in enumerate(known)}
     sizes = [0] * len(known)
@@ -164,8 +167,14 @@ def mix(
             sizes[place[s]] += x["whole"]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(known))], share * sum(x["whole"] for x in found), passes)
     gives = route([(tuple(place[s] for s in x["members"]), x["whole"]) for x in found], [int(round(g)) for g in goal], passes)
-    first = [place[x["members"][0]] if x["members"] else None for x in found]
-    table = [(x["pattern"], x["whole"], g, sizes[i] if i is not None else 0, goal[i] if i is not None else 0.0) for x, g, i in zip(found, gives, first)]
-    table = docs.sparkSession.createDataFrame(table, "p string, whole long, gives long, source_size long, target double")
-    rows = rows.join(table, rows["pattern"] == table["p"]).drop("p", "members")
-    return take(rows, ws, passes).select(F.col("key").alias(key), "size", "source_size", "target", "taken", *[F.col(f"c_{c}").alias(c) for c in carry])
+    table = []
+    for x, g in zip(found, gives):
+        i = place[x["members"][0]] if x["members"] else None
+        full = g // x["whole"] if x["whole"] else 0
+        table.append((x["pattern"], full, g - full * x["whole"], sizes[i] if i is not None else 0, goal[i] if i is not None else 0.0))
+    table = spark.createDataFrame(table, "pattern string, passes long, rest long, source_size long, target double")
+    ends = cuts(rows.join(table.select("pattern", "rest"), "pattern")).collect()  # a row per pattern at most
+    ends = spark.createDataFrame(ends, "pattern string, cut_order string, cut_size long, left long, ties long")
+    # what decides is a row per pattern: documents meet it where they are, with all their columns
+    out = (measured if carry else rows).join(table.join(ends, "pattern", "left"), "pattern")
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", taken().alias("taken"), *[F.col(f"c_{c}").alias(c) for c in carry])

@@ -104,7 +104,8 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", carry: list
     names = [f"{p}{x}" for x in (*METRICS, "n_lines", "host", "base_failed", "minor")]
     measured = ws.save(measured.select(*(docs.columns if carry is None else carry), *names), "measured")
     hosts = host_verdicts(measured, f"{p}host", F.col(f"{p}base_failed") | (F.col(f"{p}minor") > 0))
-    hosts = hosts.select(F.col("host").alias(f"{p}h"), F.col("rate").alias(f"{p}host_rate"), F.col("host_bad").alias(f"{p}host_bad"))
+    # written, so that the planner knows its size: documents stay where they are if it may be broadcast
+    hosts = ws.save(hosts.select(F.col("host").alias(f"{p}h"), F.col("rate").alias(f"{p}host_rate"), F.col("host_bad").alias(f"{p}host_bad")), "hosts")
     out = measured.join(hosts, F.col(f"{p}host").eqNullSafe(F.col(f"{p}h")), "left").drop(f"{p}h")
     tolerated = F.when(F.col(f"{p}host_bad"), 0).otherwise(1)
     return out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}minor") <= tolerated))
