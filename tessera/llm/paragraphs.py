@@ -76,7 +76,12 @@ def anchors(w: V.Words) -> tuple[np.ndarray, np.ndarray]:
         span += step
     whole = (idx + REACH - 1 <= last) | ((size < REACH).repeat(size) & (idx == first.repeat(size)))
     chosen = np.unique(best[whole])
-    return h[chosen], at[chosen]
+    # periodic texts choose equal windows over and over: of those in a row one each ``REACH`` is enough
+    new = np.ones(len(chosen), bool)
+    new[1:] = (h[chosen][1:] != h[chosen][:-1]) | (doc[chosen][1:] != doc[chosen][:-1])
+    part = (chosen - chosen[new][np.cumsum(new) - 1]) // REACH
+    new[1:] |= part[1:] != part[:-1]
+    return h[chosen[new]], at[chosen[new]]
 
 
 def _first(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
