@@ -479,3 +479,18 @@ def test_pipeline_of_an_empty_table(spark, sf_dir, docs):
 
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op4_warc", "op6_near_dedup", "op8_mixing", "op10_quality"])
+def test_query_equals_its_sql(spark, sf_dir, name):
+    import duckdb
+    from tessera.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(rows_of(got.select(*columns))) == Counter(want.fetchall())
