@@ -3,7 +3,7 @@
 Rules are checked per document inside one projection (no shuffle, no Python). Failures
 are aggregated by host, a host's failure rate is shrunk towards an empirical beta prior,
 and the host's verdict is joined back: a document with a minor failure stays if its host
-is sound and goes if its host is not.
+is sound and goes if its host is not. A document that fails a base or a major rule goes anyway.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ WORD, SPACE, SYMBOL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Minor rules: a document may fail one of them if its host is sound.
+#: Major rule: a document with more symbols per word goes.
 MAX_SYMBOLS_PER_WORD = 0.1
+#: Minor rules: a document may fail one of them if its host is sound.
 MEAN_WORD_CHARS = (2.0, 14.0)
 MAX_DUP_LINES = 0.3
 MAX_REPEAT_PERCENT_MINOR = 30
@@ -58,12 +59,15 @@ def base_failed(prefix: str = "") -> Column:
     return (n < MIN_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > MAX_REPEAT_PERCENT * n)
 
 
+def major_failed(prefix: str = "") -> Column:
+    return F.col(f"{prefix}n_symbols") > MAX_SYMBOLS_PER_WORD * F.col(f"{prefix}n_words")
+
+
 def minor_failures(prefix: str = "") -> Column:
     """How many of the minor rules a row fails."""
     m = {x: F.col(f"{prefix}{x}") for x in (*METRICS, "n_lines")}
     mean = F.try_divide(m["word_chars"], m["n_words"])
     rules = [
-        m["n_symbols"] > MAX_SYMBOLS_PER_WORD * m["n_words"],
         (mean < MEAN_WORD_CHARS[0]) | (mean > MEAN_WORD_CHARS[1]),
         m["n_dup_lines"] > MAX_DUP_LINES * m["n_lines"],
         100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT_MINOR * m["n_words"],
@@ -93,19 +97,19 @@ def host_verdicts(rows: DataFrame, host: str, failed: Column, max_rate: float =
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (all by default) of every row of ``docs``, with columns ``_q_*``: the
-    metrics, ``_q_base_failed``, ``_q_minor``, ``_q_host_rate``, ``_q_host_bad`` and ``_q_kept``.
+    metrics, ``_q_base_failed``, ``_q_major_failed``, ``_q_minor``, ``_q_host_rate``, ``_q_host_bad`` and ``_q_kept``.
 
     Whole texts are read; null or empty texts have no words and fail. Repeated rows and rows with
     null keys are judged each for itself; an empty table gives an empty one. The prefix keeps
     clear of the documents' own names."""
     p = "_q_"
     ws = Workspace(docs.sparkSession, "quality")
-    measured = with_metrics(docs, text, p).withColumns({f"{p}host": F.col(host), f"{p}base_failed": base_failed(p), f"{p}minor": minor_failures(p)})
-    names = [f"{p}{x}" for x in (*METRICS, "n_lines", "host", "base_failed", "minor")]
+    measured = with_metrics(docs, text, p).withColumns({f"{p}host": F.col(host), f"{p}base_failed": base_failed(p), f"{p}major_failed": major_failed(p), f"{p}minor": minor_failures(p)})
+    names = [f"{p}{x}" for x in (*METRICS, "n_lines", "host", "base_failed", "major_failed", "minor")]
     measured = ws.save(measured.select(*(docs.columns if carry is None else carry), *names), "measured")
-    hosts = host_verdicts(measured, f"{p}host", F.col(f"{p}base_failed") | (F.col(f"{p}minor") > 0))
+    hosts = host_verdicts(measured, f"{p}host", F.col(f"{p}base_failed") | F.col(f"{p}major_failed") | (F.col(f"{p}minor") > 0))
     # written, so that the planner knows its size: documents stay where they are if it may be broadcast
     hosts = ws.save(hosts.select(F.col("host").alias(f"{p}h"), F.col("rate").alias(f"{p}host_rate"), F.col("host_bad").alias(f"{p}host_bad")), "hosts")
     out = measured.join(hosts, F.col(f"{p}host").eqNullSafe(F.col(f"{p}h")), "left").drop(f"{p}h")
     tolerated = F.when(F.col(f"{p}host_bad"), 0).otherwise(1)
-    return out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}minor") <= tolerated))
+    return out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & ~F.col(f"{p}major_failed") & (F.col(f"{p}minor") <= tolerated))

@@ -88,10 +88,10 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all
  m AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words FROM d LEFT JOIN v ON v.doc_id = d.doc_id),
  f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  (n_symbols > {quality.MAX_SYMBOLS_PER_WORD} * n_words)::INT + (n_words > 0 AND (word_chars / n_words < {quality.MEAN_WORD_CHARS[0]} OR word_chars / n_words > {quality.MEAN_WORD_CHARS[1]}))::INT + (n_dup_lines > {quality.MAX_DUP_LINES} * n_lines)::INT
+  n_symbols > {quality.MAX_SYMBOLS_PER_WORD} * n_words AS major_failed, (n_words > 0 AND (word_chars / n_words < {quality.MEAN_WORD_CHARS[0]} OR word_chars / n_words > {quality.MEAN_WORD_CHARS[1]}))::INT + (n_dup_lines > {quality.MAX_DUP_LINES} * n_lines)::INT
   + (100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT_MINOR} * n_words)::INT AS minor FROM m),
- h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR minor > 0) AS f FROM f GROUP BY source), a AS (SELECT sum(n) AS n, greatest(least(sum(f) / sum(n), 1 - 1e-6), 1e-6) AS mean, count(*) AS k, sum(n * n) AS n2 FROM h),
+ h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR major_failed OR minor > 0) AS f FROM f GROUP BY source), a AS (SELECT sum(n) AS n, greatest(least(sum(f) / sum(n), 1 - 1e-6), 1e-6) AS mean, count(*) AS k, sum(n * n) AS n2 FROM h),
  s AS (SELECT any_value(a.n) AS n, any_value(mean) AS mean, any_value(k) AS k, any_value(n2) AS n2, sum(h.n * pow(h.f / h.n - mean, 2)) AS s FROM h, a), b AS (SELECT mean, CASE WHEN k > 1 AND n > n2 / n THEN (s - (k - 1) * mean * (1 - mean)) / (n - n2 / n) ELSE 0 END AS between_ FROM s),
  p AS (SELECT mean, CASE WHEN between_ > 0 THEN least(greatest(mean * (1 - mean) / between_ - 1, 1), 10000) ELSE 10000 END AS weight FROM b), j AS (SELECT source, (f + mean * weight) / (n + weight) > {quality.MAX_HOST_RATE} AS bad FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND minor <= CASE WHEN bad THEN 0 ELSE 1 END AS kept FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT major_failed AND minor <= CASE WHEN bad THEN 0 ELSE 1 END AS kept FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source""",
 }
