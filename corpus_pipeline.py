@@ -12,31 +12,31 @@ from pyspark.sql import functions as F
 from tessera.llm import decontam, mixing, neardup, quality, shards
 from tessera.llm.store import Workspace
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
-    return quality.judge(docs, carry=COLUMNS).where("_q_kept").select(*COLUMNS)
+    return quality.judge(docs).where("_q_kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id."""
     kept = neardup.near_duplicates(docs, k=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.mark(docs, benchmark, carry=COLUMNS).where(F.size("_d_hits") == 0).select(*COLUMNS)
+    return decontam.mark(docs, benchmark).where(F.size("_d_hits") == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: once if more than half a pass is asked for, or twice."""
-    mixed = mixing.mix(docs, carry=COLUMNS[1:])
-    copies = F.ceil(F.try_divide("taken", "size")).cast("int")
-    return mixed.where("taken > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select(*COLUMNS)
+    """Documents as often as the mix takes them, parts of a pass counted as one; names keep clear of the mix's own."""
+    named = docs.withColumnsRenamed({c: f"_m_{c}" for c in docs.columns})
+    others = [c for c in named.columns if c != "_m_doc_id"]
+    mixed = mixing.mix(named, key="_m_doc_id", text="_m_text", source="_m_source", carry=others).where("taken > 0")
+    copies = F.sequence(F.lit(1), F.ceil(F.try_divide("taken", "size")).cast("int"))
+    return mixed.withColumn("_copy", F.explode(copies)).select(*[F.col(f"_m_{c}").alias(c) for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ documents in a seeded order, by histogram: no source's documents meet in one tas
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -166,15 +167,17 @@ def mix(
         for s in x["members"]:
             sizes[place[s]] += x["whole"]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(known))], share * sum(x["whole"] for x in found), passes)
-    gives = route([(tuple(place[s] for s in x["members"]), x["whole"]) for x in found], [int(round(g)) for g in goal], passes)
+    gives = route([(tuple(place[s] for s in x["members"]), x["whole"]) for x in found], [math.floor(g + 0.5) for g in goal], passes)
     table = []
     for x, g in zip(found, gives):
         i = place[x["members"][0]] if x["members"] else None
         full = g // x["whole"] if x["whole"] else 0
         table.append((x["pattern"], full, g - full * x["whole"], sizes[i] if i is not None else 0, goal[i] if i is not None else 0.0))
-    table = spark.createDataFrame(table, "pattern string, passes long, rest long, source_size long, target double")
+    # written, so that the planner knows their sizes
+    table = ws.save(spark.createDataFrame(table, "pattern string, passes long, rest long, source_size long, target double").coalesce(1), "table")
     ends = cuts(rows.join(table.select("pattern", "rest"), "pattern")).collect()  # a row per pattern at most
-    ends = spark.createDataFrame(ends, "pattern string, cut_order string, cut_size long, left long, ties long")
+    ends = spark.createDataFrame(ends, "pattern string, cut_order string, cut_size long, left long, ties long").coalesce(1)
+    table = ws.save(table.join(ends, "pattern", "left"), "decided")
     # what decides is a row per pattern: documents meet it where they are, with all their columns
-    out = (measured if carry else rows).join(table.join(ends, "pattern", "left"), "pattern")
+    out = (measured if carry else rows).join(table, "pattern")
     return out.select(F.col("key").alias(key), "size", "source_size", "target", taken().alias("taken"), *[F.col(f"c_{c}").alias(c) for c in carry])

@@ -474,6 +474,23 @@ def test_pipeline_stages(spark, docs, sf_dir):
     assert Counter(r["doc_id"] for r in final) == n
 
 
+def test_pipeline_keeps_further_columns(spark, sf_dir, docs):
+    import corpus_pipeline as cp
+
+    table = docs.limit(60).withColumns({c: F.lit(1) for c in ("size", "taken", "copy", "kept", "id", "key", "pattern", "order")})
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, table, sf_dir).columns == table.columns
+        stage(spark, table, sf_dir).count()
+    assert cp.STAGES[-1][1](spark, table, sf_dir).count() == 60
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir, odd):
+    import corpus_pipeline as cp
+
+    for _, stage in cp.STAGES:
+        stage(spark, odd, sf_dir).collect()
+
+
 def test_pipeline_of_an_empty_table(spark, sf_dir, docs):
     import corpus_pipeline as cp
 
