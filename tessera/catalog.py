@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays as A, autocorrelation as C, complexity as X, level as L, runs as R, spectral as S
-from .operators import aggregates as G, cleaning as K, models as M, ranks, relations as J, statistics as T, thresholds as H
+from .operators import aggregates as G, audits as U, cleaning as K, models as M, ranks, relations as J, statistics as T, thresholds as H
 from .plans import features as P
 from .sources import files, series
 from .sources.series import table
@@ -622,6 +622,24 @@ def residual_targets(spark, sf_dir):
     return rows.select("vec_id", F.round(res, 9).alias("residual"), F.round(ranks.boundary_distance(p), 9).alias("boundary"), F.round(H.shift_labels(p, res, 0.5), 9).alias("corrected"))
 
 
+@query(f"""WITH {W_ROWS}, {FEATS}, f AS (SELECT vec_id, round(mean, 9) AS mean, round(std, 9) AS std, round(range, 9) AS range, round(slope, 9) AS slope FROM feats),
+ p AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a} AS x, {b} AS y FROM f" for i, a in enumerate(FEATURES[:4]) for b in FEATURES[i + 1 : 4])}),
+ r AS (SELECT a, b, {_rank_sql('x', 'a, b')} AS rx, {_rank_sql('y', 'a, b')} AS ry FROM p) SELECT a, b, round(corr(rx, ry), 6) AS r FROM r GROUP BY a, b""")
+def rank_diversity(spark, sf_dir):
+    return U.rank_correlation(_rounded(spark, sf_dir), FEATURES[:4]).select("a", "b", *r6(r=F.col("r")))
+
+
+@query(SEEDS_SQL + f""", p AS (SELECT seed, extra AS x, (tgt + 0.5) / 4 - ({_rank_sql('score', 'seed')} - 0.5) / count(*) OVER (PARTITION BY seed) AS res FROM s), q AS (SELECT seed, x, round(res, 9) AS res, round(abs(res), 9) AS size FROM p),
+ a AS (SELECT corr(rx, ry) AS signed, corr(rx, rs) AS absolute FROM (SELECT {_rank_sql('x', '1')} AS rx, {_rank_sql('res', '1')} AS ry, {_rank_sql('size', '1')} AS rs FROM q)),
+ e AS (SELECT seed, corr(rx, ry) AS c FROM (SELECT seed, {_rank_sql('x', 'seed')} AS rx, {_rank_sql('res', 'seed')} AS ry FROM q) GROUP BY seed)
+SELECT 'extra' AS feature, round(any_value(signed), 6) AS signed, round(any_value(absolute), 6) AS absolute, round(avg(c), 6) AS seed_mean, round(stddev_pop(c), 6) AS seed_std, round(avg((sign(c) = sign(signed))::INT), 6) AS sign_agreement FROM e, a""")
+def residual_audit(spark, sf_dir):
+    rows = ranks.with_ranks(_seed_scores(spark, sf_dir), "score", "vec_id", within=["seed"])
+    rows = rows.withColumn("res", F.round(ranks.midpoint(F.col("tgt")) - (F.col("r_avg") - 0.5) / F.col("n_ranked"), 9))
+    got = U.residual_audit(rows.select("vec_id", "seed", "extra", "res"), "vec_id", "seed", ["extra"], "res")
+    return got.select("feature", *r6(**{c: F.col(c) for c in ("signed", "absolute", "seed_mean", "seed_std", "sign_agreement")}))
+
+
 # -- properties only: draws, trees and clusters --------------------------------------------------------
 
 

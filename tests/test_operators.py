@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tessera.operators import aggregates as G, cleaning as K, models as M, ranks, relations as J, statistics as T, thresholds as H
+from tessera.operators import aggregates as G, audits as U, cleaning as K, models as M, ranks, relations as J, statistics as T, thresholds as H
 from tessera.plans import features as P
 from tessera.sources import files, series
 
@@ -278,3 +278,21 @@ def test_files(spark, tmp_path):
     assert "| id | target |" in (tmp_path / "r.md").read_text()
     assert sum(r["n"] for r in files.histogram(got, "target", 3).collect()) == 2
     assert "No obvious row overlap" in files.interpret(0.48, 0.27, 0)[0]
+
+
+def test_audits(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, i % 4, float(i % 4 + r.normal() / 9), *map(float, r.normal(size=2))) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, y int, x double, z double, base double").cache()
+    assert U.linear_probe(df, "id", ["x", "z"], "y", "base", 4) > 0.8
+    best = U.combined_score(df, "id", ["x", "z"], "y", "base", 1)
+    assert best.agg(F.corr("combined", "x")).first()[0] == pytest.approx(1)
+    assert U.planted_products(df.withColumn("one", F.lit(1.0)), ["x", "z", "one"], "y", 1).first()["feature"] == "x*one"
+    got = U.pattern_search(df, "id", "y", [3, 4], lambda d, f: d.agg(F.abs(F.corr("mod", "y"))).first()[0]).first()
+    assert got["modulus"] == 4 and got["score"] == pytest.approx(1)
+    flags = spark.createDataFrame([("a", 0.05, 0.01), ("b", 0.2, 0.01), ("c", 0.0, 0.0)], "f string, smd double, gain double")
+    assert [x["f"] for x in U.stable(flags).collect()] == ["a"]
+    seeds = df.withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("res", F.col("x"))
+    audit = U.residual_audit(seeds, "id", "seed", ["x", "z"], "res", F.col("id") % 8 < 4).where("feature = 'x'").first()
+    assert audit["signed"] == pytest.approx(1) and audit["sign_agreement"] == 1 and audit["risk"] == "low"
+    assert U.seed_vote(seeds, "id", "seed", "x").agg(F.max("spread")).first()[0] == 0
