@@ -31,6 +31,8 @@ from .store import Workspace
 PIECE = 1 << 20
 LEVEL = 1
 MIN_REVISIT = 1000
+#: Bytes of archives that a task normalises or reads at least, unless one archive is larger.
+TASK_BYTES = 8 << 20
 _VERSION = b"WARC/1.1\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -146,24 +148,24 @@ def plan(pages: DataFrame, key: str, url: str, html: str, min_bytes: int = MIN_R
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Monolithic archives below ``folder``, one per partition; returns their ``path`` and ``records``."""
+    """Monolithic archives below ``folder``, one per partition; returns their ``path``, ``records`` and ``bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
-        path, n, out, z = f"{root}/{os.urandom(12).hex()}.warc.gz", 0, None, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        path, n, size, out, z = f"{root}/{os.urandom(12).hex()}.warc.gz", 0, 0, None, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         for batch in batches:
             for x in batch.to_pylist():
                 out = out or store.open_output_stream(path, compression=None)
                 raw = record(x["page_id"], x["url"], x["body"] or b"", x["size"], x["sha1"], x["revisit"], x["refers_to"])
-                out.write(z.compress(raw))
+                size += _Counted(out).write(z.compress(raw))
                 n += 1
         if out:
-            out.write(z.flush())
+            size += _Counted(out).write(z.flush())
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
 
-    return plan(pages, key, url, html, min_bytes).mapInArrow(run, "path string, records long")
+    return plan(pages, key, url, html, min_bytes).mapInArrow(run, "path string, records long, bytes long")
 
 
 def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -225,7 +227,8 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     ws = Workspace(pages.sparkSession, "warc")
     folder = (folder or ws.root).rstrip("/")
     raw = ws.save(write_archives(pages, f"{folder}/raw", key, url, html, min_bytes), "raw-manifest")
-    n = max(1, raw.count())
+    # a task for so many bytes of archives, not for each of many small ones
+    n = max(1, -(-(raw.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
     whole = ws.save(normalise_archives(raw.repartition(n), f"{folder}/records"), "manifest")
     if folder == ws.root:
         ws.drop("raw")
