@@ -76,10 +76,10 @@ def anchors(w: V.Words) -> tuple[np.ndarray, np.ndarray]:
         span += step
     whole = (idx + REACH - 1 <= last) | ((size < REACH).repeat(size) & (idx == first.repeat(size)))
     chosen = np.unique(best[whole])
-    # periodic texts choose equal windows over and over: of those in a row one each ``REACH`` is enough
+    # periodic texts choose equal windows over and over: of those in a row so many stay as overlap
     new = np.ones(len(chosen), bool)
     new[1:] = (h[chosen][1:] != h[chosen][:-1]) | (doc[chosen][1:] != doc[chosen][:-1])
-    part = (chosen - chosen[new][np.cumsum(new) - 1]) // REACH
+    part = (chosen - chosen[new][np.cumsum(new) - 1]) // (WIDTH - 4)
     new[1:] |= part[1:] != part[:-1]
     return h[chosen[new]], at[chosen[new]]
 
@@ -95,7 +95,7 @@ def _first(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per paragraph: ``doc``, ``first`` (of its kind in the text), ``start``, ``end`` (code points), ``words``,
+    """One row per paragraph: ``doc``, ``first`` (of its kind in the text), ``nth`` (windows: number in a row), ``start``, ``end`` (code points), ``words``,
     identity ``s1``/``s2``, band keys ``keys`` (none for windows) and whether it is a ``window``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +125,7 @@ def units(docs: DataFrame, key: str, text: str) -> DataFrame:
                     [
                         batch.column(0).take(pa.array(rows)),
                         pa.array(np.r_[_first(ld, s1), _first(v.doc[wa], wh)]),
+                        pa.array(np.r_[np.full(len(long), -2), np.arange(len(wh))].astype(np.int32)),
                         pa.array((points[start] - base).astype(np.int32)),
                         pa.array((points[np.r_[le, we]] - base).astype(np.int32)),
                         pa.array(np.r_[lw, np.full(len(wh), WIDTH)].astype(np.int32)),
@@ -133,11 +134,11 @@ def units(docs: DataFrame, key: str, text: str) -> DataFrame:
                         V.lists(keys.reshape(-1), np.r_[np.arange(len(long) + 1) * BANDS, np.full(len(wh), len(long) * BANDS)], pa.int64()),
                         pa.array(np.r_[np.zeros(len(long), bool), np.ones(len(wh), bool)]),
                     ],
-                    ["doc", "first", "start", "end", "words", "s1", "s2", "keys", "window"],
+                    ["doc", "first", "nth", "start", "end", "words", "s1", "s2", "keys", "window"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    shape = f"doc {kind}, first boolean, start int, end int, words int, s1 long, s2 long, keys array<long>, window boolean"
+    shape = f"doc {kind}, first boolean, nth int, start int, end int, words int, s1 long, s2 long, keys array<long>, window boolean"
     return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null").mapInArrow(run, shape)
 
 
@@ -201,15 +202,17 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = classes.drop("keys").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("near", F.coalesce("component", "id"))
     spans = named.groupBy("near").agg(F.min("rep").alias("first_place"), F.max("last").alias("last_doc")).where("first_place.doc < last_doc")
     shared = named.join(spans, "near").select("s1", "s2", F.col("first_place.doc").alias("fdoc"), F.col("first_place.start").alias("fstart"))
-    places = lines.drop("keys").join(shared, ["s1", "s2"]).select("doc", "start", "end", "words", "fdoc", F.concat_ws(":", "fdoc", "fstart").alias("id"), F.expr("doc = fdoc and start = fstart").alias("kept"))
+    places = lines.drop("keys").join(shared, ["s1", "s2"]).select("doc", "nth", "start", "end", "words", "fdoc", F.concat_ws(":", "fdoc", "fstart").alias("id"), F.expr("doc = fdoc and start = fstart").alias("kept"))
     shared = windows.groupBy("s1", "s2").agg(F.min("doc").alias("fdoc"), F.max("doc").alias("last")).where("fdoc < last").drop("last")
-    inside = windows.join(shared, ["s1", "s2"]).select("doc", "start", "end", "words", "fdoc", F.concat_ws(":", "fdoc", F.hex("s1")).alias("id"), (F.expr("doc = fdoc") & F.col("first")).alias("kept"))
+    inside = windows.join(shared, ["s1", "s2"]).select("doc", "nth", "start", "end", "words", "fdoc", F.concat_ws(":", "fdoc", F.hex("s1")).alias("id"), (F.expr("doc = fdoc") & F.col("first")).alias("kept"))
     places = places.unionByName(inside)
 
-    # Paragraphs of a document that overlap, and share a fate, are one passage.
+    # Paragraphs of a document that overlap, and share a fate, are one passage; so are a document's windows
+    # that follow each other without another between and repeat the same document.
     order = W.partitionBy("doc", "kept").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    islands = places.withColumn("new", F.when(reach > F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    follows = (F.lag("nth").over(order) + 1 == F.col("nth")) & (F.lag("fdoc").over(order) == F.col("fdoc"))
+    islands = places.withColumn("new", F.when((reach > F.col("start")) | follows, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     out = islands.groupBy("doc", "kept", "island").agg(
         F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.max("words").cast("long").alias("n_words"), F.min_by("id", F.struct("start", "end", "id")).alias("component_id")
     )
