@@ -2,8 +2,8 @@
 
 Fixed masks choose some of the words of a window and ignore the others, so a substituted word
 at an ignored position leaves the hash as it is. Hashes of the benchmark and of all documents are
-joined; around each hit the two texts are laid side by side and their best stretch of at least
-``min_identity`` equal words is measured.
+joined; around each hit the two texts are laid side by side and the best of their stretches of
+``min_words`` words or more is measured.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from . import vectext as V
 from .store import ARROW_ROWS
 
 U64 = np.uint64
-#: Six chosen words each; the first is contiguous and finds every run of six equal words.
-MASKS = ("111111", "11011011", "101101011", "1100101011", "1010110011", "10010101101")
+#: Six chosen words each; the first is contiguous and finds every run of six equal words. Together they hit
+#: every stretch of 13 words or more of which 80 % are equal (longer ones than 25 words hold a shorter such one).
+MASKS = ("111111", "11011011", "101101011", "1100101011", "1010110011", "10010101101", "1111011")
 MIN_WORDS = 13
 MIN_IDENTITY = 0.8
 #: Benchmark text, in bytes, that is broadcast at once; a larger one is handled in so many blocks.
@@ -58,18 +59,26 @@ class Index:
     known: np.ndarray
 
     @classmethod
-    def build(cls, ids: list, texts: list[str]) -> Index:
+    def build(cls, ids: list, texts: list[str], min_identity: float = MIN_IDENTITY) -> Index:
         data, offsets = V.texts(pa.array(texts, pa.large_string()))
         w = V.words(data, offsets, V.PUNCTUATION)
-        # an item with fewer words than the shortest mask is looked for as a whole
-        masks = [*MASKS, *("1" * int(n) for n in np.unique(w.counts) if 0 < n < 6)]
+        # a shorter item than the masks are made for is cut in one piece more than it may have unequal words
+        pieces: dict[int, list[int]] = {}
+        for i in np.flatnonzero((w.counts > 0) & (w.counts < MIN_WORDS)):
+            n = int(w.counts[i])
+            parts = int((1 - min_identity) * n + 1e-9) + 1
+            cuts = [n * k // parts for k in range(parts + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    pieces.setdefault(b - a, []).append(int(w.first[i]) + a)
+        masks = [*MASKS, *("1" * n for n in sorted(pieces))]
         keys, places = [], []
         known = np.zeros(1 << _FILTER_BITS, bool)
-        for m in masks:
+        for k, m in enumerate(masks):
             h, at = seeds(w, m)
-            if len(m) < 6:
-                whole = w.counts[w.doc[at]] == len(m)
-                h, at = h[whole], at[whole]
+            if k >= len(MASKS):
+                piece = np.isin(at, pieces[len(m)])
+                h, at = h[piece], at[piece]
             order = np.argsort(h, kind="stable")
             keys.append(h[order])
             places.append(at[order])
@@ -91,21 +100,26 @@ class Index:
         return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
 
 
-def best_stretch(same: np.ndarray, min_identity: float) -> tuple[int, int, int]:
-    """Start, end and equal words of the stretch that has the most equal words beyond what
-    ``min_identity`` asks for its unequal ones."""
-    gain = np.where(same, 1.0, -min_identity / (1 - min_identity) if min_identity < 1 else -float(len(same)))
-    total = np.r_[0.0, np.cumsum(gain)]
-    low = np.minimum.accumulate(total[:-1])
-    end = int(np.argmax(total[1:] - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end + 1, int(same[start : end + 1].sum())
+def best_stretch(same: np.ndarray, min_identity: float, least: int) -> tuple[int, int, int] | None:
+    """Start, end and equal words of the stretch of ``least`` words or more that has the most equal words
+    beyond the share ``min_identity``; None if no such stretch reaches that share."""
+    if len(same) < least:
+        return None
+    total = np.r_[0.0, np.round(np.cumsum(same) - min_identity * np.arange(1, len(same) + 1), 9)]
+    low = np.minimum.accumulate(total[: len(total) - least])
+    gain = np.round(total[least:] - low, 9)
+    at = int(np.argmax(gain))
+    if gain[at] < 0:
+        return None
+    start = int(np.flatnonzero(total[: at + 1] == low[at])[-1])
+    return start, at + least, int(same[start : at + least].sum())
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (all by default) of every row of ``docs`` and ``_d_hits``, an array of item, start, end
     (code points), words, equal: the best overlap with each item that has ``min_words`` words (or all of
-    a shorter item's) at ``min_identity`` or more.
+    a shorter item's) at ``min_identity`` or more. No such overlap is missed with limits of ``MIN_WORDS`` and
+    ``MIN_IDENTITY`` or above; below them the masks may pass over some.
 
     Words are runs of characters other than ASCII punctuation and spaces, A-Z as a-z. Null and empty texts
     and items have no hits, equal items are found under each id, null ids as null. Nothing is shuffled;
@@ -121,7 +135,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     out = docs.select(*carry, F.col(text).alias("_d_text")).withColumn("_d_hits", F.expr(f"cast(array() as array<struct<item:{'bigint' if arrow == pa.int64() else 'string'},start:bigint,end:bigint,words:bigint,equal:bigint>>)"))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(Index.build([r["item"] for r in rows], [r["text"] for r in rows]))
+        index = spark.sparkContext.broadcast(Index.build([r["item"] for r in rows], [r["text"] for r in rows], min_identity))
         out = out.mapInArrow(_finder(index, min_words, min_identity, arrow), out.schema)
     return out.drop("_d_text")
 
@@ -139,9 +153,10 @@ def _finder(index, min_words: int, min_identity: float, arrow: pa.DataType):
                 for doc, it, shift in ix.hits(w).tolist():
                     f0, f1, g0, g1 = w.first[doc], w.first[doc + 1], ix.words.first[it], ix.words.first[it + 1]
                     lo, hi = max(0, -shift), min(g1 - g0, f1 - f0 - shift)
-                    s, e, equal = best_stretch(ix.words.hash[g0 + lo : g0 + hi] == w.hash[f0 + shift + lo : f0 + shift + hi], min_identity)
+                    best = best_stretch(ix.words.hash[g0 + lo : g0 + hi] == w.hash[f0 + shift + lo : f0 + shift + hi], min_identity, max(1, min(min_words, g1 - g0)))
                     old = found.setdefault(a + doc, {}).get(it)
-                    if e - s >= min(min_words, g1 - g0) and equal >= min_identity * (e - s) and (not old or equal > old["equal"]):
+                    if best and (not old or best[2] > old["equal"]):
+                        s, e, equal = best
                         points = V.code_points(data) if points is None else points
                         first, last = f0 + shift + lo + s, f0 + shift + lo + e - 1
                         base = points[offsets[doc]]

@@ -320,6 +320,48 @@ def test_decontamination_in_blocks(spark, docs, sf_dir, monkeypatch):
     assert whole <= {t[:2] for t in once}
 
 
+def test_masks_hit_every_stretch():
+    for n in range(13, 26):
+        whole = (1 << n) - 1
+        alike = np.array([whole & ~sum(1 << i for i in gone) for gone in combinations(range(n), n // 5)])
+        hit = np.zeros(len(alike), bool)
+        for m in decontam.MASKS:
+            for at in range(n - len(m) + 1):
+                hit |= alike & (int(m[::-1], 2) << at) == int(m[::-1], 2) << at
+        assert hit.all(), n
+
+
+def test_best_stretch_equals_brute_force():
+    r = np.random.default_rng(6)
+    for _ in range(400):
+        same, least = r.random(r.integers(1, 50)) < r.choice([0.5, 0.75, 0.85]), int(r.integers(1, 20))
+        whole = {(i, j): 5 * int(same[i:j].sum()) - 4 * (j - i) for i in range(len(same)) for j in range(i + least, len(same) + 1)}
+        got = decontam.best_stretch(same, 0.8, least)
+        assert (got is None) == (max(whole.values(), default=-1) < 0)
+        if got:
+            assert whole[got[:2]] == max(whole.values()) and got[2] == same[got[0] : got[1]].sum()
+
+
+def test_decontamination_of_substituted_items(spark):
+    r = np.random.default_rng(7)
+    items = {n: [f"i{n}x{j}" for j in range(n)] for n in (1, 4, 5, 6, 9, 10, 12, 13, 15, 17, 23, 40)}
+    rows, want = [], set()
+    for n, words in items.items():
+        for k in range(n // 3 + 1):
+            for _ in range(8):
+                gone = set(r.choice(n, k, replace=False).tolist())
+                rows.append((len(rows), " ".join(["before", *(f"s{j}" if j in gone else x for j, x in enumerate(words)), "after"])))
+                least = min(13, n)
+                if any(5 * len(gone & set(range(i, j))) <= j - i for i in range(n) for j in range(i + least, n + 1)):
+                    want.add((rows[-1][0], n))
+    rows += [(len(rows), " ".join([*(x if j % 5 else "s" for j, x in enumerate(items[40]))])), (len(rows) + 1, " ".join(["s" if j == 12 else x for j, x in enumerate(items[17])]))]
+    want |= {(len(rows) - 2, 40), (len(rows) - 1, 17)}
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == want
+    assert all(x["n_words"] >= min(13, x["item_id"]) and 5 * x["n_equal"] >= 4 * x["n_words"] for x in found)
+
+
 # -- 3: toxicity -----------------------------------------------------------------------------
 
 
