@@ -83,8 +83,8 @@ FULL_SQL = """, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v,
 EVENT_ROWS = """e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS v FROM events), ev AS (SELECT * FROM e WHERE t < 12 AND user_id IN (SELECT user_id FROM e WHERE t = 11))"""
 
 
-def _summary(stats: dict[str, Column]) -> list[Column]:
-    return [c.alias(n) if n.endswith("steps") else F.round(c, 6).alias(n) for n, c in stats.items()]
+def _summary(stats: dict[str, Column], digits: int = 6) -> list[Column]:
+    return [c.alias(n) if n.endswith("steps") else F.round(c, digits).alias(n) for n, c in stats.items()]
 
 
 @query(f"WITH {W_ROWS} " + LEVEL_SQL.format(id="vec_id", sd="stddev_pop", src="w", more=""))
@@ -97,6 +97,18 @@ def seq_level_samp(spark, sf_dir):
     return series.event_series(spark, sf_dir).select("user_id", *_summary(L.summary(F.col("a"), 1, True)))
 
 
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS v, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+ x AS (SELECT *, n // 2 AS half, v - lag(v) OVER (PARTITION BY user_id ORDER BY t) AS dv FROM e)
+SELECT user_id, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, round(min(v), 9) AS min, round(max(v), 9) AS max, round(max(v) - min(v), 9) AS range, round(quantile_cont(v, 0.5), 9) AS median,
+ round(quantile_cont(v, 0.25), 9) AS q25, round(quantile_cont(v, 0.75), 9) AS q75, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 9) AS iqr, round(max(v) FILTER (t = 0), 9) AS first, round(max(v) FILTER (t = n - 1), 9) AS last,
+ round(max(v) FILTER (t = n - 1) - max(v) FILTER (t = 0), 9) AS last_minus_first, round(avg(v) FILTER (t < half), 9) AS early_mean, round(avg(v) FILTER (t >= half), 9) AS late_mean, round(avg(v) FILTER (t >= half) - avg(v) FILTER (t < half), 9) AS late_minus_early,
+ round(avg(dv), 9) AS diff_mean, round(stddev_pop(dv), 9) AS diff_std, round(avg(abs(dv)), 9) AS diff_abs_mean, count(*) FILTER (dv > 0) AS positive_steps, count(*) FILTER (dv < 0) AS negative_steps, CASE WHEN count(*) > 1 THEN round(regr_slope(v, t), 9) END AS slope
+FROM x GROUP BY user_id""")
+def seq_level_samp_whole(spark, sf_dir):
+    """Every event of every user; null where a statistic is undefined."""
+    return series.event_series(spark, sf_dir, None).select("user_id", *_summary(L.summary(F.col("a"), 1, True), 9))
+
+
 @query(f"""WITH {W_ROWS}, c AS (SELECT vec_id, t, sum(v) OVER (PARTITION BY vec_id ORDER BY t) AS s FROM w), p AS (SELECT *, max(s) OVER (PARTITION BY vec_id ORDER BY t) AS peak FROM c)
 SELECT vec_id, round(max(s) - min(s), 6) AS cum_range, round(stddev_pop(s), 6) AS cum_std, round(max(s), 6) AS cum_max, round(min(s), 6) AS cum_min, round(max(peak - s), 6) AS drawdown FROM p GROUP BY vec_id""")
 def seq_cum_path(spark, sf_dir):
@@ -115,6 +127,15 @@ def seq_robust(spark, sf_dir):
     return series.order_series(spark, sf_dir).select("o_custkey", F.round(L.trimmed_mean(a), 4).alias("trimmed_mean"), F.round(L.mad(a), 4).alias("mad"), L.spikes(a).alias("spikes"))
 
 
+@query("""WITH q AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+ m AS (SELECT o_custkey, quantile_cont(v, 0.5) AS med, round(quantile_cont(v, 0.5) + quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS thr, CASE WHEN count(*) > 2 THEN avg(v) FILTER (r > 1 AND r < n) ELSE avg(v) END AS trimmed FROM q GROUP BY o_custkey)
+SELECT q.o_custkey, round(max(trimmed), 6) AS trimmed_mean, round(quantile_cont(abs(v - med), 0.5), 6) AS mad, count(*) FILTER (v > thr) AS spikes FROM q JOIN m ON q.o_custkey IS NOT DISTINCT FROM m.o_custkey GROUP BY q.o_custkey""")
+def seq_robust_whole(spark, sf_dir):
+    """Every order of every customer."""
+    a = F.col("a")
+    return series.order_series(spark, sf_dir, 1).select("o_custkey", *r6(trimmed_mean=L.trimmed_mean(a), mad=L.mad(a)), L.spikes(a, 6).alias("spikes"))
+
+
 @query(f"""WITH {WC_ROWS}, m AS (SELECT vec_id, avg(c * c) AS m2, avg(c * c * c) AS m3, avg(c * c * c * c) AS m4 FROM wc GROUP BY vec_id),
  k AS (SELECT vec_id, m3 / pow(sqrt(m2) + 1e-12, 3) AS s, m4 / pow(sqrt(m2) + 1e-12, 4) - 3 AS k FROM m)
 SELECT vec_id, round(s, 6) AS skew_pop, round(k, 6) AS kurt_pop, round(sqrt(12.0 * 11) / 10 * s, 6) AS skew_adj, round(11.0 / (10 * 9) * (13 * k + 6), 6) AS kurt_adj FROM k""")

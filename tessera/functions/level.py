@@ -128,9 +128,11 @@ def kurtosis_corrected(a: Column) -> Column:
     return F.when(F.size(a) < 4, None).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurtosis(a) + 6))
 
 
-def spikes(a: Column) -> Column:
-    """How many elements lie above median plus interquartile range."""
-    return A.let(A.quantiles(a, (0.25, 0.5, 0.75), lambda x, y, z: y + z - x), lambda t: A.count_if(a, lambda x: x > t))
+def spikes(a: Column, digits: int | None = None) -> Column:
+    """How many elements lie above median plus interquartile range, which is rounded to ``digits`` if given:
+    of two elements the larger lies on it."""
+    limit = A.quantiles(a, (0.25, 0.5, 0.75), lambda x, y, z: y + z - x)
+    return A.let(limit if digits is None else F.round(limit, digits), lambda t: A.count_if(a, lambda x: x > t))
 
 
 def segment_mean(a: Column, start: int, stop: int | None = None) -> Column:

@@ -23,8 +23,9 @@ def collected_series(df: DataFrame, entity: str, order: list[str], value: str, n
     return out.withColumn("a", F.slice("a", 1, n)) if n else out
 
 
-def event_series(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
-    return collected_series(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", n, n)
+def event_series(spark: SparkSession, sf_dir: str, n: int | None = 12) -> DataFrame:
+    """The first ``n`` values of users that have so many; whole series of all users for ``n`` of None."""
+    return collected_series(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", n, n or 1)
 
 
 def order_series(spark: SparkSession, sf_dir: str, least: int = 12) -> DataFrame:
