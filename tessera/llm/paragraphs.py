@@ -1,6 +1,6 @@
 """Operator 2: repeated passages by paragraph MinHash banding.
 
-Paragraphs are a text's lines of ``MIN_WORDS`` words or more. Their 5-word shingles get
+Paragraphs are a text's lines of ``MIN_WORDS`` words or more, those that hold a shingle. Their 5-word shingles get
 36 MinHash values in 12 bands of three; colliding paragraphs are joined, confirmed by
 exact Jaccard of 0.8 or more and clustered by components.
 
@@ -27,7 +27,7 @@ from .store import Workspace
 
 U64 = np.uint64
 K = 5
-MIN_WORDS = 40
+MIN_WORDS = K
 #: Tuned for recall: a pair at 0.8 shares a band with probability 1 - (1 - 0.8**3)**12 = 0.9998.
 BANDS, ROWS = 12, 3
 WIDTH, REACH = 20, 32

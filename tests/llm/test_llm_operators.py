@@ -280,6 +280,24 @@ def test_repeated_passages(spark, docs, odd, empty):
     assert paragraphs.repeated_passages(empty).count() == 0
 
 
+def test_repeated_short_lines(spark):
+    short, edited = prose(31, 23, 10**6), prose(32, 30, 10**6).split()
+    wrapped = prose(33, 300, 10**6).split()
+    rows = [(i, f"{prose(300 + i, 45, 10**6)}\n{short}\n{prose(400 + i, 45, 10**6)}") for i in range(26)]
+    rows += [(30, f"one two three\n{' '.join(edited)}"), (31, f"{' '.join([*edited[:-1], 'other'])}\none two three")]
+    rows += [(40 + k, "\n".join(" ".join("new" if k and j % 30 == 29 else x for j, x in enumerate(wrapped[i : i + 12], i)) for i in range(0, 300, 12))) for k in range(2)]
+    rows += [(50, f"{' '.join(wrapped[:5])}\n{prose(50, 9, 10**6)}"), (51, prose(51, 5, 10**6))]
+    got = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts, shown = dict(rows), defaultdict(set)
+    for r in got:
+        shown[r["doc_id"]].add(texts[r["doc_id"]][r["start"] : r["end"]])
+    assert all(shown[i] == {short} for i in range(26)) and [r["doc_id"] for r in got if r["kept"] and r["doc_id"] < 26] == [0]
+    assert shown[30] == {" ".join(edited)} and shown[31] == {" ".join([*edited[:-1], "other"])}
+    lines = [x for x in texts[41].split("\n") if "new" not in x]
+    assert len(lines) > 10 and all(any(x in y for y in shown[k]) for x in lines for k in (40, 41))
+    assert not shown[50] and not shown[51]
+
+
 def test_repeated_passages_catches_all_of_51_words(docs):
     got = {r["doc_id"] for r in paragraphs.repeated_passages(docs).collect()}
     grams = defaultdict(set)
