@@ -26,6 +26,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of a country's account number (ISO 13616 registry).
+_IBAN_LENGTHS = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in names.split()
+}
 _NATIONAL_ID = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])")
 
@@ -83,6 +92,22 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             yield a, done
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The pattern runs on into words that follow, so every end at a space is tried, the longest first;
+    of a known country only its length counts. What fails is looked at again from its next word."""
+    m = _IBAN.search(text)
+    while m:
+        a, found = m.start(), m.group()
+        length = _IBAN_LENGTHS.get(found[:2])
+        for b in [len(found), *(i for i in range(len(found) - 1, 0, -1) if found[i] == " ")]:
+            account = found[:b].replace(" ", "")
+            if (len(account) >= 15 if length is None else len(account) == length) and mod97(account):
+                yield a, a + b
+                a += b - 1
+                break
+        m = _IBAN.search(text, a + 1)
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans by kind, leftmost and non-overlapping within a kind."""
     for a, b in _emails(text):
@@ -97,9 +122,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _PHONE.finditer(text):
         if 8 <= len(_digits(m.group())) <= 15:
             yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield "iban", *m.span()
+    for a, b in _ibans(text):
+        yield "iban", a, b
     for (a, b), d in cards:
         if 13 <= len(d) <= 15 and d[0] in "3456" and luhn(d):
             yield "short_card", a, b

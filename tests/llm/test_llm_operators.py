@@ -89,6 +89,12 @@ def test_pii_added_spans():
     assert not [s for s in pii.scan("account DE89370400440532013001 and number 123-45-6789 and 555 123 4567") if s.kind in pii.ADDED_KINDS]
 
 
+@pytest.mark.parametrize("number", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"])
+def test_pii_iban_before_other_words(number):
+    for text, n in ((f"IBAN {number} BIC COBADEFF", 1), (f"{number} 100 EUR", 1), (f"AB12 {number} {number} A", 2), (f"{number}A {number}", 1), (f"{number[:-1]} BIC COBADEFF", 0), (number, 1)):
+        assert [text[s.start : s.end] for s in pii.scan(text) if s.kind == "iban"] == [number] * n, text
+
+
 @pytest.mark.parametrize("text", ["a@b.c@d.e", "@b.c@d.e", "a@@b.c", "..@a-.b", "x@y.z.", "a@b", "1.2.3.4.5.6.7.8", "1.2.3.4.1.2.3.4", "4 1-1 11", "+1--1", "++12345678", "+1 23456789+12345678"])
 def test_pii_edges(text):
     assert [(s.kind, s.start, s.end) for s in pii.scan(text) if s.kind in pii.BASE_KINDS] == plain_pii(text)
