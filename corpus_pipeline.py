@@ -6,6 +6,8 @@ next one's ``docs``. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id."""
-    kept = neardup.near_duplicates(docs, k=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each group of near copies stays: that with the smallest id.
+
+    Of rows that repeat an id one stays for each text (its words, A-Z as a-z). Rows without an id have no near
+    copies; one stays of each text that no row with an id has. Texts without words are copies only under one id."""
+    kept = neardup.near_duplicates(docs, k=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows, unnamed = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi"), docs.where("doc_id is null")
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_n_id"))
+    words = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " ")
+    text = F.sha2(F.trim(words), 256).alias("_n_text")
+    one = lambda table: table.groupBy("doc_id", text).agg(F.min(F.struct(*docs.columns)).alias("_n_row"))
+    out = rows
+    if not several.isEmpty():
+        again = rows["doc_id"] == several["_n_id"]
+        out = rows.join(several, again, "left_anti").unionByName(one(rows.join(several, again, "left_semi")).select("_n_row.*"))
+    if not unnamed.isEmpty():
+        wordless = F.trim(words) == ""
+        named = docs.where("doc_id is not null").select(text).distinct()
+        out = out.unionByName(one(unnamed.where(~wordless)).join(named, "_n_text", "left_anti").select("_n_row.*")).unionByName(unnamed.where(wordless))
+    return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -551,6 +551,18 @@ def test_pipeline_keeps_further_columns(spark, sf_dir, docs):
     assert cp.STAGES[-1][1](spark, table, sf_dir).count() == 60
 
 
+def test_near_dedup_of_repeated_and_missing_ids(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d = (prose(60 + i, 30, 10**6) for i in range(4))
+    rows = [(1, a, "x"), (1, a, "x"), (1, f" {a.upper()}\n", "y"), (1, b, "x"), (2, a, "x"), (3, d, "x"), (3, d, None), (4, c + " tail", "x")]
+    rows += [(None, a, "x"), (None, b, "x"), (None, prose(70, 30), "x"), (None, prose(70, 30), "y"), (None, prose(70, 30).replace(" ", "  "), "x"), (None, "", "x"), (None, None, "x"), (5, "", "x"), (5, " ", "x")]
+    out = cp.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert out.columns == ["doc_id", "text", "source"]
+    got = Counter((r["doc_id"], " ".join((r["text"] or "").lower().split())) for r in out.collect())
+    assert got == Counter({(1, a): 1, (1, b): 1, (3, d): 1, (4, c + " tail"): 1, (None, prose(70, 30)): 1, (None, ""): 2, (5, ""): 1})
+
+
 def test_pipeline_of_odd_rows(spark, sf_dir, odd):
     import corpus_pipeline as cp
 
