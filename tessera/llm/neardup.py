@@ -9,9 +9,9 @@ The work per document is linear and no group of copies is expanded into pairs:
 
 1. documents with the same set are one node (``groupBy`` on a 128-bit set identity);
 2. in each band bucket every node is compared with the bucket's smallest node only;
-3. after components over the confirmed links, only buckets that still hold several
-   components are compared further, across components, in blocks of bounded size, exactly. A block's links
-   are emitted as a spanning forest.
+3. in buckets that hold several components after that, nodes are compared with the bucket's most central member
+   and with one of its largest component, drawn for each bucket by itself;
+4. nodes that are still outside look for their links by a prefix join of their rarest shingles, exactly.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,6 @@ MANTISSA_BITS = 10
 ROWS, BANDS = 6, 42
 #: A pair at 0.8 shares no band with probability (1 - 0.8**6)**42, below 3e-6; one at 0.3 shares one with 0.03.
 _order = np.random.default_rng(6).permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1)
-BLOCK = 256  # nodes on a side of a block of the exact step
 
 
 def registers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -106,8 +105,8 @@ def passes(ra, rb, na, nb, threshold: float) -> np.ndarray:
     return estimate(ra, rb, na, nb) >= threshold - 5 * error
 
 
-def _registers_of(column: pd.Series | pa.Array) -> np.ndarray:
-    raw = b"".join(column.to_pylist() if isinstance(column, pa.Array) else column)
+def _registers_of(column: pa.Array) -> np.ndarray:
+    raw = b"".join(column.to_pylist())
     return np.frombuffer(raw, np.uint16).reshape(-1, REGISTERS)
 
 
@@ -179,106 +178,140 @@ def confirm(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return joined.where(f"100L * x >= {percent}L * (t - x)").select("a", "b")
 
 
-def residual_blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """What stars can't show: buckets of three nodes or more (``k``, ``m``, ``id``) that hold several components.
-
-    Nodes outside a bucket's largest component seek, and all its nodes are sought: blocks ``k``, ``i``, ``j`` of about
-    ``BLOCK`` seekers and twice as many sought together hold every pair of different components. The
-    largest component's nodes don't meet each other. One bucket stands for all with the same members."""
-    named = buckets.where("m > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("component", "id").alias("comp"))
-    members = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64(F.lit(7), "id").cast("decimal(20)")).alias("s")]
+def residue(buckets: DataFrame, labels: DataFrame, ws: Workspace, name: str) -> DataFrame | None:
+    """What stars can't show: rows ``k``, ``id``, ``comp`` of buckets of three nodes or more that hold several
+    components, with the bucket's largest component ``lead``, a ``head`` out of it, drawn for each bucket
+    by itself, and the bucket's ``centre``, the member that meets most others in all its buckets: variants of a text are
+    often closer to their origin than to each other. One bucket stands for all with the same members. None if there
+    are no such buckets."""
+    named = buckets.where("m > 2").select("k", "id", "m").join(labels.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "m", F.coalesce("component", "id").alias("comp"))
+    members = [F.first("m").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64(F.lit(7), "id").cast("decimal(20)")).alias("s")]
     mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members)
-    mixed = mixed.where("lo <> hi").groupBy("x", "m", "s").agg(F.min("k").alias("k")).select("k")
-    chosen = named.join(mixed, "k")
-    sizes = chosen.groupBy("k", "comp").agg(F.count("*").alias("c")).groupBy("k").agg(F.max_by("comp", F.struct("c", "comp")).alias("lead"), F.sum("c").alias("m"), F.max("c").alias("big"))
-    rows = chosen.join(sizes, "k")
-    si, tj = F.ceil((F.col("m") - F.col("big")) / BLOCK).cast("int"), F.ceil(F.col("m") / (2 * BLOCK)).cast("int")
-    i, j = F.pmod(F.xxhash64("id"), si).cast("int"), F.pmod(F.xxhash64("id"), tj).cast("int")
-    place = lambda x, y, seeks: F.struct(x.cast("int").alias("i"), y.cast("int").alias("j"), F.lit(seeks).alias("seeks"))
-    sought = F.transform(F.sequence(F.lit(0), si - 1), lambda x: place(x, j, False))
-    seeking = F.transform(F.sequence(F.lit(0), tj - 1), lambda y: place(i, y, True))
-    places = F.when(F.col("comp") == F.col("lead"), sought).otherwise(F.concat(sought, seeking))
-    return rows.select("k", "id", "comp", F.explode(places).alias("p")).select("k", "p.i", "p.j", "p.seeks", "id", "comp")
-
-
-def _pairs(x: pd.DataFrame, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For every seeker of a block the sought rows of other components that the registers don't rule out."""
-    ids, comp, seeks, n = x["id"].to_numpy(), pd.factorize(x["comp"])[0], x["seeks"].to_numpy(bool), x["n"].to_numpy(float)
-    regs = _registers_of(x["regs"]) if "regs" in x else None
-    for p in np.flatnonzero(seeks):
-        other = np.flatnonzero(~seeks & (comp != comp[p]) & (ids != ids[p]) & (np.minimum(n, n[p]) >= threshold * np.maximum(n, n[p])))
-        if regs is not None and len(other):
-            other = other[passes(np.broadcast_to(regs[p], (len(other), REGISTERS)), regs[other], np.full(len(other), n[p]), n[other], threshold)]
-        yield p, other
-
-
-def _forest(x: pd.DataFrame, percent: int) -> Iterator[tuple]:
-    """Links found in a block among nodes of different components, as a spanning forest."""
-    ids, items = x["id"].tolist(), [np.asarray(v, np.int64).view(U64) for v in x["items"]]  # sorted as unsigned
-    x = x.assign(n=[len(v) for v in items])
-    root, size = pd.factorize(x["comp"])[0], x["n"].to_numpy()
-    for p, other in _pairs(x, percent / 100):
-        other = other[root[other] != root[p]]
-        if not len(other) or not size[p]:
-            continue
-        flat = np.concatenate([items[q] for q in other])
-        at = np.minimum(np.searchsorted(items[p], flat), size[p] - 1)
-        both = np.bincount(np.repeat(np.arange(len(other)), size[other]), items[p][at] == flat, len(other))
-        for q in other[100 * both >= percent * (size[p] + size[other] - both)]:
-            if root[q] != root[p]:
-                root[root == root[q]] = root[p]
-                yield ids[p], ids[q]
-
-
-def spanning(blocks: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links ``a``, ``b`` between components in each block, as a spanning forest."""
-    kind = blocks.schema["id"].dataType.simpleString()
-
-    def forest(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([*_forest(x, percent)], columns=["a", "b"])
-
-    return blocks.join(items, "id").groupBy("k", "i", "j").applyInPandas(forest, f"a {kind}, b {kind}")
-
-
-def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], ws: Workspace, percent: int = 80, given: DataFrame | None = None) -> DataFrame:
-    """Components of the nodes ``reps`` (``id``, ``n``, ``regs``) under Jaccard >= percent / 100.
-
-    ``fetch(ids)`` returns ``id``, ``items`` of the nodes asked for; links ``given`` count as they are. Returns ``node``,
-    ``component`` of linked nodes."""
-    kind = reps.schema["id"].dataType.simpleString()
-    threshold = percent / 100
-    rows = collisions(reps)
-    heads = rows.groupBy("k").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1")
-    buckets = ws.save(rows.join(heads, "k"), "buckets")
-    pairs = buckets.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = ws.save(screen(pairs, reps, kind, threshold), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    items = ws.save(fetch(ids), "items")
-    edges = confirm(pairs, items, percent)
-    edges = ws.save(edges.unionByName(given) if given is not None else edges, "edges")
-    labels = ws.save(components(edges, ws), "labels")
-
-    blocks = residual_blocks(buckets, labels)
-
-    def hopeful(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        alive = np.zeros(len(x), bool)
-        for p, other in _pairs(x, threshold):
-            alive[other] = True
-            alive[p] |= len(other) > 0
-        return x.loc[alive, ["k", "i", "j", "seeks", "id", "comp"]]
-
-    shape = f"k long, i int, j int, seeks boolean, id {kind}, comp {kind}"
-    sketched = reps.select("id", "n", "regs")
-    alive = ws.save(blocks.join(sketched, "id").groupBy("k", "i", "j").applyInPandas(hopeful, shape), "alive")
-    ws.drop("buckets", "pairs", "items")
-    if alive.isEmpty():
-        return labels
-    items = ws.save(fetch(alive.select("id").distinct()), "items2")
+    mixed = ws.save(mixed.where("lo <> hi").groupBy("x", "m", "s").agg(F.min("k").alias("k")).select("k"), f"{name}-mixed")
+    if mixed.isEmpty():
+        return None
+    chosen = ws.save(named.join(mixed, "k"), f"{name}-rows")
+    met = ws.save(chosen.groupBy("id").agg(F.sum("m").alias("met")), f"{name}-met")
+    drawn = F.xxhash64("k", "id").alias("h")
+    sizes = chosen.join(met, "id").groupBy("k", "comp").agg(F.count("*").alias("c"), F.min(F.struct(drawn, "id")).alias("head"), F.max(F.struct("met", drawn, "id", "comp")).alias("centre"))
+    leads = sizes.groupBy("k").agg(F.max(F.struct("c", F.col("comp").alias("lead"), F.col("head.id").alias("head"))).alias("x"), F.max("centre").alias("y"))
+    leads = ws.save(leads.select("k", "x.lead", "x.head", F.col("y.id").alias("centre"), F.col("y.comp").alias("centre_comp")), f"{name}-leads")
+    return chosen.drop("m").join(leads, "k")
+
+
+def spokes(rest: DataFrame) -> DataFrame:
+    """Pairs of ``residue``'s nodes: each of another component with its bucket's centre, and with a member of the largest one."""
+    pair = lambda other, comp: rest.where(f"comp <> {comp}").select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b"))
+    return pair("centre", "centre_comp").unionByName(pair("head", "lead")).distinct()
+
+
+#: Counters by which shingles are told rare from frequent: 2 ** COUNTER_BITS bytes, whatever the input.
+COUNTER_BITS = 20
+
+
+def rarity(items: DataFrame) -> np.ndarray:
+    """How frequent shingles are, by a hash of COUNTER_BITS bits, as eighths of a power of two. Any order of shingles
+    gives exact results; one that puts rare ones first gives few candidates."""
+    cell = F.shiftrightunsigned(F.xxhash64("t"), 64 - COUNTER_BITS).cast("int")
+    counts = items.select(F.explode("items").alias("t")).groupBy(cell.alias("c")).count().toArrow()
+    out = np.zeros(1 << COUNTER_BITS, np.uint8)
+    out[counts.column(0).to_numpy()] = np.minimum(255, np.round(8 * np.log2(counts.column(1).to_numpy() + 1.0)))
+    return out
+
+
+def prefixes(items: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
+    """Rows ``id``, ``comp``, ``seeks``, ``n``, ``t``, ``at``, ``short``: a set's rarest shingles and their places.
+
+    Sets are put in one order, rare shingles first. Two sets with Jaccard >= percent / 100 share a shingle that is
+    among the first n - ceil(p n) + 1 of the larger and the first n - ceil(2 p n / (1 + p)) + 1 (``short``)
+    of the smaller."""
+    kind = items.schema["id"].dataType.simpleString()
+    shared = items.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for a in range(0, x.num_rows, 256):
+                part = x.slice(a, 256)
+                column = part.column(3)
+                n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = column.flatten().to_numpy()
+                cells = pc.list_flatten(part.column(4)).to_numpy()
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((flat, shared.value[cells], owner))
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                size = n[owner]
+                keep = at <= size - -(-percent * size // 100)
+                order, own, at, size = order[keep], owner[keep], at[keep], size[keep]
+                short = at <= size - -(-2 * percent * size // (100 + percent))
+                own = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(own), part.column(1).take(own), part.column(2).take(own), pa.array(size), pa.array(flat[order]), pa.array(at), pa.array(short)],
+                    ["id", "comp", "seeks", "n", "t", "at", "short"],
+                )
+
+    cells = F.transform("items", lambda t: F.shiftrightunsigned(F.xxhash64(t), 64 - COUNTER_BITS).cast("int"))
+    rows = items.select("id", "comp", "seeks", "items", cells.alias("cells"))
+    return rows.mapInArrow(run, f"id {kind}, comp {kind}, seeks boolean, n long, t long, at long, short boolean")
 
-    more = spanning(alive.join(sketched, "id"), items, percent)
-    every = ws.save(edges.unionByName(more), "edges2")
-    ws.drop("items2", "alive")
-    return ws.save(components(every, ws, "cc2"), "labels2")
+
+def exact_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of different components, one of which seeks, that share a shingle of their prefixes at places
+    that leave room for a link: a superset of their links (prefix and position filters)."""
+    p = rows.select(*[F.col(c).alias(f"p{c}") for c in ("id", "comp", "seeks", "n", "at")], "t")
+    q = rows.where("short").select(*[F.col(c).alias(f"q{c}") for c in ("id", "comp", "seeks", "n", "at")], "t")
+    fits = F.expr(f"pid <> qid and pcomp <> qcomp and (pseeks or qseeks) and qn <= pn and 100L * qn >= {percent}L * pn and {100 + percent}L * least(pn - pat, qn - qat) >= {percent}L * (pn + qn)")
+    return p.join(q, (p["t"] == q["t"]) & fits).select(F.least("pid", "qid").alias("a"), F.greatest("pid", "qid").alias("b")).distinct()
+
+
+def link(pairs_of: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], keys: DataFrame, ws: Workspace, percent: int = 80, given: DataFrame | None = None) -> DataFrame:
+    """Components of nodes under Jaccard >= percent / 100 of their sets; work is linear in the bucket rows.
+
+    ``keys`` holds ``id``, ``k`` for each band, ``pairs_of(pairs)`` drops pairs that a cheap look rules out, ``fetch(ids)`` returns ``id``,
+    ``items`` of the nodes asked for; links ``given`` count as they are. No link between nodes that share
+    a bucket is lost:
+
+    1. every node meets the least of each of its buckets;
+    2. in buckets that hold several components, nodes meet the bucket's centre and one of its largest component;
+    3. of buckets that still do, nodes outside the largest component seek their links by prefix joins, exactly.
+
+    Returns ``node``, ``component`` of linked nodes."""
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = ws.save(pairs_of(pairs), f"{name}-pairs")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        items = ws.save(fetch(ids), f"{name}-items")
+        edges = ws.save(confirm(pairs, items, percent), f"{name}-edges")
+        ws.drop(f"{name}-pairs", f"{name}-items")
+        return edges
+
+    def grown(labels: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+        """Components after further links; those known are stars already."""
+        if edges.isEmpty():
+            return labels
+        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return ws.save(components(known.unionByName(edges), ws, f"{name}-cc"), f"{name}-labels")
+
+    # written, so that the planner knows its size, broadcasts it if small and splits hot buckets if not
+    heads = ws.save(keys.groupBy("k").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1"), "heads")
+    buckets = ws.save(keys.join(heads, "k"), "buckets")
+    edges = confirmed(buckets.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "first")
+    labels = ws.save(components(edges.unionByName(given) if given is not None else edges, ws), "labels")
+
+    rest = residue(buckets, labels, ws, "second")
+    if rest is None:
+        return labels
+    labels = grown(labels, confirmed(spokes(rest), "second"), "second")
+    rest = residue(buckets, labels, ws, "third")
+    ws.drop("buckets", "heads")
+    if rest is None:
+        return labels
+    sought = rest.groupBy("id").agg(F.first("comp").alias("comp"), F.bool_or(F.expr("comp <> lead")).alias("seeks"))
+    sought = ws.save(sought, "sought")
+    items = ws.save(fetch(sought.select("id")).join(sought, "id"), "third-sets")
+    rows = ws.save(prefixes(items, rarity(items), percent), "prefixes")
+    edges = confirmed(exact_pairs(rows, percent), "third")
+    ws.drop("prefixes", "third-sets", "sought")
+    return grown(labels, edges, "third")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
@@ -305,7 +338,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # a key with several texts holds their classes together
     several = rows.where("id is not null and rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select("id", "a")
     same = rows.where("rep is not null").join(several, "id").select(F.col("rep").alias("a"), F.col("a").alias("b")).where("a <> b")
-    labels = link(reps.select("id", "n", "regs"), fetch, ws, percent, same)
+    kind = docs.schema[key].dataType.simpleString()
+    labels = link(lambda pairs: screen(pairs, reps, kind, percent / 100), fetch, collisions(reps), ws, percent, same)
     out = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("found", F.coalesce("component", "rep"))
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
