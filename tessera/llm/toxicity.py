@@ -3,12 +3,14 @@
 Words are hashed into an embedding table (a second table takes their first letters, so that
 inflected forms share what they have in common). Filters of width one to three run over the
 words, each filter's maximum over the whole text goes into a logistic layer. Everything is trained in
-NumPy on the driver from a bounded sample of labelled rows and applied to whole texts in
-Arrow batches. Scores never see the language; decision thresholds are calibrated by it.
+NumPy from a bounded sample of labelled rows, whose whole texts executors turn into bucket numbers, and applied
+to whole texts in Arrow batches. One task trains on all of the sample; others leave out a fold each, and their answers
+there calibrate the scores. Scores never see the language; decision thresholds are calibrated by it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .store import ARROW_ROWS
 
 U64 = np.uint64
 BUCKET_BITS = 16
@@ -26,10 +27,9 @@ DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 STEM_BYTES = 4
-#: Labelled rows of each class that the model is fitted on at most, and characters of each row's
-#: that training reads at most (scoring reads all).
+#: Labelled rows of each class that the model is fitted on at most; their texts are read whole.
 MAX_ROWS = 2500
-MAX_TRAIN_CHARS = 20_000
+FOLDS = 4
 THRESHOLD = 0.3
 
 
@@ -94,10 +94,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 3, epochs: int = 20, batch: int = 32, rate: float = 0.15) -> Network:
-    """Fit by AdaGrad; only the words at the filters' maxima get gradients."""
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 3, epochs: int = 20, batch: int = 32, rate: float = 0.15) -> Network:
+    """Fit to texts' word and stem buckets by AdaGrad; only the words at the filters' maxima get gradients."""
     net, r = Network.new(seed), np.random.default_rng(seed)
-    docs = [tokens(*V.texts(pa.array([t], pa.large_string())))[:2] for t in texts]
     used = [i for i in range(len(docs)) if len(docs[i][0])]
     dense = [*net.filters, *net.biases, net.out]
     memory = [np.full_like(p, 1e-6) for p in dense]
@@ -111,7 +110,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3, epochs: int = 20,
             first = np.r_[0, np.cumsum([len(docs[i][0]) for i in pick])]
             w, s = (np.concatenate([docs[i][k] for i in pick]) for k in (0, 1))
             x, maps = net.maps(w, s, first)
-            at = np.stack([maps[a:c].argmax(0) + a for a, c in zip(first[:-1], first[1:])])
+            at = np.stack([maps[a:c].argmax(0) + a for a, c in zip(first[:-1].tolist(), first[1:].tolist())])
             top = maps[at, np.arange(maps.shape[1])]
             pooled = np.maximum(top, 0)
             delta = (_sigmoid(pooled @ net.out + net.bias) - labels[pick]) * balance[pick] / len(pick)
@@ -132,9 +131,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3, epochs: int = 20,
                     change.append((g[:, :, None] * net.filters[i][j].T[None]).reshape(-1, DIM))
             where, change = np.concatenate(where), np.concatenate(change)
             for table, ids, mem in ((net.words, w, rows_memory[0]), (net.stems, s, rows_memory[1])):
-                rows, inverse = np.unique(ids[where], return_inverse=True)
-                total = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(total, inverse, change)
+                by = np.argsort(ids[where], kind="stable")
+                sorted_ids = ids[where][by]
+                begins = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+                rows, total = sorted_ids[begins], np.add.reduceat(change[by], begins, axis=0)
                 mem[rows] += (total**2).mean(1)
                 table[rows] -= rate * total / np.sqrt(mem[rows])[:, None]
             for p, g, m in zip(dense, grads, memory):
@@ -147,7 +147,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 3, epochs: int = 20,
 
 
 def calibrate(net: Network, raw: np.ndarray, labels: np.ndarray, weight: np.ndarray, langs: list, least: int = 20) -> None:
-    """Fit the score's scale and shift to held-back labels, and a threshold for each language.
+    """Fit the score's scale and shift to answers to rows that were left out, and a threshold for each language.
 
     A language with fewer than ``least`` rows of either class keeps the common threshold."""
     a, b = 1.0, 0.0
@@ -177,31 +177,61 @@ def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _labelled(docs: DataFrame, sample: DataFrame, key: str, text: str, lang: str, seed: int, limit: int) -> list:
+    """Rows ``y``, ``lang``, ``w``, ``s`` (buckets as bytes) of labelled documents, in a seeded order."""
+    lkind = docs.schema[lang].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in V.chunks(batch.column(3)):
+                w, stems, first = tokens(data, offsets)
+                cut = lambda x: pa.array([x[i:j].astype(np.uint16).tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), cut(w), cut(stems)], ["h", "y", "lang", "w", "s"])
+
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(sample), "id")
+    rows = rows.select(F.xxhash64("id", F.lit(seed)).alias("h"), "y", "lang", "text").mapInArrow(run, f"h long, y int, lang {lkind}, w binary, s binary")
+    return rows.orderBy("h", "w", "s", "y", "lang").limit(limit).drop("h").collect()
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", max_rows: int = MAX_ROWS, seed: int = 3) -> Network | float:
-    """A network from at most ``max_rows`` labelled rows of each class, a fifth of them held back for
-    calibration; where one class is missing, the labels' share of ones instead.
+    """A network from at most ``max_rows`` labelled rows of each class, calibrated on answers to left-out folds; where
+    a class is missing, the labels' share of ones instead.
 
-    The sample is chosen by a hash of the key. A key labelled more than once counts as 1 if any
-    of its labels is; null labels and keys are left out."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
+    The sample is chosen by a hash of the key, its texts are read whole. A key labelled more than once counts as 1 if any
+    of its labels is; null labels and keys are left out; of rows that repeat keys at most ``4 * max_rows`` are learnt from.
+    Other columns, whatever their names, aren't read."""
+    spark = docs.sparkSession
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
     share = known.agg(F.avg("y"), F.count("*")).first()
-    ranked = [known.where(F.col("y") == y).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max_rows) for y in (0, 1)]
-    sample = ranked[0].unionByName(ranked[1])  # at most 2 * max_rows narrow rows
-    body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, MAX_TRAIN_CHARS)
-    rows = docs.select(key, body.alias("_x"), F.col(lang).alias("_lang")).join(F.broadcast(sample), key).orderBy(F.xxhash64(key, F.lit(seed + 1)), key).select("_x", "_lang", "y").limit(4 * max_rows).collect()
+    ranked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_rows) for y in (0, 1)]
+    rows = _labelled(docs, ranked[0].unionByName(ranked[1]), key, text, lang, seed + 1, 4 * max_rows)  # narrow rows, 2 * max_rows keys at most
     y = np.array([r["y"] for r in rows])
     if not len(y) or y.min() == y.max():
         return float(share[0] or 0.0)
-    back = np.arange(len(y)) % 5 == 4
-    if min((y[back] == 1).sum(), (y[back] == 0).sum(), (y[~back] == 1).sum(), (y[~back] == 0).sum()) == 0:
-        back = np.ones(len(y), bool)
-    learn = ~back if not back.all() else back
-    net = train([r["_x"] for r, b in zip(rows, learn) if b], y[learn], seed)
-    held = [r for r, b in zip(rows, back) if b]
-    raw = net.raw(*tokens(*V.texts(pa.array([r["_x"] for r in held], pa.large_string())))).astype(np.float64)
-    yb = y[back]
-    weight = np.where(yb == 1, share[0] / max(yb.mean(), 1e-9), (1 - share[0]) / max(1 - yb.mean(), 1e-9))
-    calibrate(net, raw, yb, weight, [r["_lang"] for r in held])
+    fold = np.zeros(len(y), int)  # by turns within each class
+    for c in (0, 1):
+        fold[y == c] = np.arange((y == c).sum()) % FOLDS
+    data = spark.sparkContext.broadcast((y, fold, [(r["w"], r["s"]) for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, fold, texts = data.value
+        texts = [tuple(np.frombuffer(x, np.uint16).astype(np.int32) for x in t) for t in texts]
+        for k in (k for batch in batches for k in batch.column(0).to_pylist()):
+            learn = fold != k  # the last task leaves nothing out
+            if k < FOLDS and y[learn].min() == y[learn].max():
+                learn = np.ones(len(y), bool)
+            net = train([t for t, x in zip(texts, learn) if x], y[learn], seed + k)
+            raw = np.array([net.raw(*t, np.array([0, len(t[0])]))[0] for t, f in zip(texts, fold) if f == k])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(raw if k < FOLDS else net)], pa.binary())], ["k", "found"])
+
+    tasks = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "k long, found binary").collect()
+    found = {r["k"]: pickle.loads(r["found"]) for r in tasks}
+    raw = np.empty(len(y))
+    for k in range(FOLDS):
+        raw[fold == k] = found[k]
+    net = found[FOLDS]
+    weight = np.where(y == 1, share[0] / y.mean(), (1 - share[0]) / (1 - y.mean()))
+    calibrate(net, raw, y, weight, [r["lang"] for r in rows])
     return net
 
 
@@ -210,10 +240,9 @@ def score(docs: DataFrame, model: Network | float, key: str = "doc_id", text: st
     language and ``flagged`` by it, for every row of ``docs``.
 
     Whole texts are read, null as empty; a text without words gets the score that no filter's answer
-    gives. Repeated rows and null keys give a row each; a null or unknown language has the common threshold."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    gives. Repeated rows and null keys give a row each, an empty table none; a null or unknown language has the common threshold.
+    Other columns, whatever their names, are neither read nor returned."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
