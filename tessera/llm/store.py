@@ -12,9 +12,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows handed to Python at once; with whole texts this bounds a worker's memory.
-ARROW_ROWS = 512
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
@@ -32,7 +29,6 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._fs_path().deleteOnExit(self._path(self.root))
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
