@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .store import ARROW_ROWS
 
 U64 = np.uint64
 #: Six chosen words each; the first is contiguous and finds every run of six equal words. Together they hit
@@ -131,7 +130,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     carry = docs.columns if carry is None else carry
     kind = items.schema["item"].dataType
     arrow = pa.int64() if kind.typeName() in ("long", "integer", "short", "byte") else pa.string()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     out = docs.select(*carry, F.col(text).alias("_d_text")).withColumn("_d_hits", F.expr(f"cast(array() as array<struct<item:{'bigint' if arrow == pa.int64() else 'string'},start:bigint,end:bigint,words:bigint,equal:bigint>>)"))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == block).collect()

@@ -206,7 +206,7 @@ def spokes(rest: DataFrame) -> DataFrame:
 
 
 #: Counters by which shingles are told rare from frequent: 2 ** COUNTER_BITS bytes, whatever the input.
-COUNTER_BITS = 20
+COUNTER_BITS = 18
 
 
 def rarity(items: DataFrame) -> np.ndarray:
