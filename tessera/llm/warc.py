@@ -31,6 +31,8 @@ from .store import Workspace
 PIECE = 1 << 20
 LEVEL = 1
 MIN_REVISIT = 1000
+#: Bytes at which a writer goes on in a new archive: no task has to normalise or read a larger piece.
+ARCHIVE_BYTES = 64 << 20
 #: Bytes of archives that a task normalises or reads at least, unless one archive is larger.
 TASK_BYTES = 8 << 20
 _VERSION = b"WARC/1.1\r\n"
@@ -86,16 +88,19 @@ def parse(raw: bytes) -> dict:
 
 def _inflated(source) -> Iterator[bytes]:
     """Plain bytes of a gzip file of one member or several, in pieces."""
-    z = zlib.decompressobj(31)
+    z, begun = zlib.decompressobj(31), False
     while piece := source.read(PIECE):
         while piece:
+            begun = True
             if out := z.decompress(piece, PIECE):
                 yield out
             piece = z.unconsumed_tail
             if z.eof:
-                piece, z = z.unused_data or piece, zlib.decompressobj(31)
+                piece, z, begun = z.unused_data or piece, zlib.decompressobj(31), False
     if out := z.flush():
         yield out
+    if begun:
+        raise ValueError("the gzip stream is cut off")
 
 
 def normalise(source, target) -> Iterator[tuple[int, int]]:
@@ -137,35 +142,47 @@ def read_record(source, offset: int, length: int) -> dict:
 # -- Spark -------------------------------------------------------------------------------
 
 
-def plan(pages: DataFrame, key: str, url: str, html: str, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Rows to write: page, url, body (null for revisits), payload length and SHA-1, what they refer to."""
+def plan(pages: DataFrame, key: str, url: str, html: str, ws: Workspace, min_bytes: int = MIN_REVISIT) -> DataFrame:
+    """Rows to write: page, url, body (null for revisits), payload length and SHA-1, what they refer to.
+
+    Which payloads repeat is found from digests and keys alone. That table is written, so that the planner knows its size:
+    while it is small bodies stay where they are, beyond that they move once, and often repeated ones are split."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("sha1"), F.length(body).cast("long").alias("size"))
     same = rows.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1 and head is not null")
-    joined = rows.join(same.drop("copies"), ["sha1", "size"], "left")
+    joined = rows.join(ws.save(same.drop("copies"), "repeated"), ["sha1", "size"], "left")
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     return joined.select("page_id", "url", F.when(~revisit, F.col("body")).alias("body"), "size", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("head")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Monolithic archives below ``folder``, one per partition; returns their ``path``, ``records`` and ``bytes``."""
+def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """``plan``'s rows in monolithic archives of about ``archive_bytes`` below ``folder``; returns their ``path``, ``records`` and ``bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
-        path, n, size, out, z = f"{root}/{os.urandom(12).hex()}.warc.gz", 0, 0, None, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        out = None
         for batch in batches:
-            for x in batch.to_pylist():
-                out = out or store.open_output_stream(path, compression=None)
+            for x in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
+                if out is None:
+                    path, n, size, z = f"{root}/{os.urandom(12).hex()}.warc.gz", 0, 0, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    out = store.open_output_stream(path, compression=None)
                 raw = record(x["page_id"], x["url"], x["body"] or b"", x["size"], x["sha1"], x["revisit"], x["refers_to"])
                 size += _Counted(out).write(z.compress(raw))
                 n += 1
+                if size >= archive_bytes:
+                    yield _closed(out, z, path, n, size)
+                    out = None
         if out:
-            size += _Counted(out).write(z.flush())
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
+            yield _closed(out, z, path, n, size)
+
+    return rows.mapInArrow(run, "path string, records long, bytes long")
+
 
-    return plan(pages, key, url, html, min_bytes).mapInArrow(run, "path string, records long, bytes long")
+def _closed(out, z, path: str, n: int, size: int) -> pa.RecordBatch:
+    size += _Counted(out).write(z.flush())
+    out.close()
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
 
 
 def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -216,17 +233,17 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.select("path", "index").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT, folder: str | None = None) -> DataFrame:
+def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` as WARC archives, normalise them and read every record back.
 
     Of rows with equal payloads of ``min_bytes`` or more the one with the largest key is a
     response and the others revisit it; rows that repeat that key are responses too. If all
     keys of such rows are null, all are responses; a null key beside others revisits. A null
-    payload is empty, a null url has no header. Other columns aren't read. An empty table gives no archive
-    and no row. ``folder`` (a shared one) keeps the archives; by default they go with the session."""
+    payload is empty, a null url has no header. Payloads of any length are read whole; they are inflated and rewritten in
+    pieces. Other columns, whatever their names, are neither read nor returned. An empty table gives no archive and no row. ``folder`` (a shared one) keeps the archives; by default they go with the session."""
     ws = Workspace(pages.sparkSession, "warc")
     folder = (folder or ws.root).rstrip("/")
-    raw = ws.save(write_archives(pages, f"{folder}/raw", key, url, html, min_bytes), "raw-manifest")
+    raw = ws.save(write_archives(plan(pages, key, url, html, ws, min_bytes), f"{folder}/raw", archive_bytes), "raw-manifest")
     # a task for so many bytes of archives, not for each of many small ones
     n = max(1, -(-(raw.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
     whole = ws.save(normalise_archives(raw.repartition(n), f"{folder}/records"), "manifest")
