@@ -2,7 +2,7 @@
 
 Fixed masks choose some of the words of a window and ignore the others, so a substituted word
 at an ignored position leaves the hash as it is. Hashes of the benchmark and of all documents are
-joined; around each hit the two texts are laid side by side and the best of their stretches of
+joined (through a broadcast index of the benchmark while that is small); around each hit the two texts are laid side by side and the best of their stretches of
 ``min_words`` words or more is measured.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
+from .store import Workspace
 
 U64 = np.uint64
 #: Six chosen words each; the first is contiguous and finds every run of six equal words. Together they hit
@@ -24,8 +25,8 @@ U64 = np.uint64
 MASKS = ("111111", "11011011", "101101011", "1100101011", "1010110011", "10010101101", "1111011")
 MIN_WORDS = 13
 MIN_IDENTITY = 0.8
-#: Benchmark text, in bytes, that is broadcast at once; a larger one is handled in so many blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text up to which its index (about 20 times as large) is broadcast; a larger benchmark's seeds are joined.
+INDEX_BYTES = 4 << 20
 _FILTER_BITS = 22
 _up = np.array([pow(0xD1342543DE82EF95, i, 1 << 64) for i in range(64)], U64)
 
@@ -121,21 +122,81 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     ``MIN_IDENTITY`` or above; below them the masks may pass over some.
 
     Words are runs of characters other than ASCII punctuation and spaces, A-Z as a-z. Null and empty texts
-    and items have no hits, equal items are found under each id, null ids as null. Nothing is shuffled;
-    benchmarks larger than ``BLOCK_BYTES`` are taken in blocks, one pass over ``docs`` each."""
-    spark = docs.sparkSession
+    and items have no hits, equal items are found under each id, null ids as null. Of an item's equally good overlaps that at
+    the smallest shift is shown. Rows that repeat are marked each; other columns pass as they are (``_d_text`` and ``_d_hits``
+    are names of this function: an input that has them is refused).
+
+    A benchmark of up to ``INDEX_BYTES`` is broadcast as an index and nothing is shuffled. Seeds of a larger one are
+    joined with those of distinct texts, and pairs of text and item that share one are verified."""
+    if taken := {"_d_text", "_d_hits"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(taken)} are names of this function")
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
     carry = docs.columns if carry is None else carry
     kind = items.schema["item"].dataType
     arrow = pa.int64() if kind.typeName() in ("long", "integer", "short", "byte") else pa.string()
-    out = docs.select(*carry, F.col(text).alias("_d_text")).withColumn("_d_hits", F.expr(f"cast(array() as array<struct<item:{'bigint' if arrow == pa.int64() else 'string'},start:bigint,end:bigint,words:bigint,equal:bigint>>)"))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(Index.build([r["item"] for r in rows], [r["text"] for r in rows], min_identity))
-        out = out.mapInArrow(_finder(index, min_words, min_identity, arrow), out.schema)
-    return out.drop("_d_text")
+    hits = f"array<struct<item:{'bigint' if arrow == pa.int64() else 'string'},start:bigint,end:bigint,words:bigint,equal:bigint>>"
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > INDEX_BYTES:
+        return _joined(docs, items, text, carry, hits, min_words, min_identity)
+    rows = items.collect()
+    index = docs.sparkSession.sparkContext.broadcast(Index.build([r["item"] for r in rows], [r["text"] for r in rows], min_identity))
+    out = docs.select(*carry, F.col(text).alias("_d_text"), F.expr(f"cast(array() as {hits})").alias("_d_hits"))
+    return out.mapInArrow(_finder(index, min_words, min_identity, arrow), out.schema).drop("_d_text")
+
+
+def _joined(docs: DataFrame, items: DataFrame, text: str, carry: list[str], hits: str, min_words: int, min_identity: float) -> DataFrame:
+    """``mark`` by a distributed join of seeds. Texts and items stand for themselves by a digest, equal ones once."""
+    ws = Workspace(docs.sparkSession, "decontamination")
+    body, digest = F.col(text), F.unhex(F.md5(F.col(text).cast("binary")))
+    texts = docs.where(F.octet_length(body) > 0).select(digest.alias("t"), body.alias("text"))
+    named = ws.save(items.select("item", F.unhex(F.md5(F.col("text").cast("binary"))).alias("b"), "text"), "items")
+
+    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                index = Index.build([0], [batch.column(1)[i].as_py()], min_identity)
+                for mask, keys in zip(index.masks, index.keys):
+                    h = np.unique(keys)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(h), i))), pa.array(np.full(len(h), mask)), pa.array(h.view(np.int64))], ["b", "mask", "h"])
+
+    known = ws.save(named.select("b", "text").dropDuplicates(["b"]).mapInArrow(item_seeds, "b binary, mask string, h long"), "item-seeds")
+    cells = known.select(F.shiftrightunsigned("h", 64 - _FILTER_BITS).cast("int").alias("c")).distinct().toArrow()
+    filled = np.zeros(1 << _FILTER_BITS, bool)  # of a fixed size, whatever the benchmark's
+    filled[cells.column(0).to_numpy()] = True
+    masks = [r["mask"] for r in known.select("mask").distinct().collect()]  # those of MASKS and one per length below MIN_WORDS
+    shared = docs.sparkSession.sparkContext.broadcast((filled, masks))
+
+    def text_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, masks = shared.value
+        for batch in batches:
+            for a, _, data, offsets in V.chunks(batch.column(1)):
+                w = V.words(data, offsets, V.PUNCTUATION)
+                for mask in masks:
+                    h, at = seeds(w, mask)
+                    maybe = filled[(h >> U64(64 - _FILTER_BITS)).astype(np.int64)]
+                    h, doc = h[maybe], w.doc[at[maybe]]
+                    order = np.lexsort((h, doc))
+                    h, doc = h[order], doc[order]
+                    new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[new] + a)), pa.array(h[new].view(np.int64))], ["t", "h"])
+
+    pairs = texts.mapInArrow(text_seeds, "t binary, h long").join(known.select("b", "h"), "h").select("t", "b").distinct()
+    pairs = ws.save(pairs, "pairs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.schema([("t", pa.binary()), ("b", pa.binary()), *((n, pa.int64()) for n in ("start", "end", "words", "equal"))])
+        for batch in batches:
+            for x in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
+                data, offsets = V.texts(pa.array([x["text"]]))
+                found = _best(Index.build([0], [x["itext"]], min_identity), V.words(data, offsets, V.PUNCTUATION), data, offsets, min_words, min_identity)
+                yield pa.RecordBatch.from_pylist([{"t": x["t"], "b": x["b"], **{k: v for k, v in h.items() if k != "item"}} for h in found.get(0, {}).values()], shape)
+
+    wanted = texts.join(pairs.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
+    both = pairs.join(wanted, "t").join(named.select("b", F.col("text").alias("itext")).dropDuplicates(["b"]), "b")
+    found = both.select("t", "b", "text", "itext").mapInArrow(verify, "t binary, b binary, start long, end long, words long, equal long")
+    found = found.join(named.select("item", "b"), "b").select("t", F.struct("item", "start", "end", "words", "equal").alias("h"))
+    found = ws.save(found.groupBy("t").agg(F.sort_array(F.collect_list("h")).cast(hits).alias("_d_hits")), "hits")
+    out = docs.select(*carry, digest.alias("_d_text")).join(found, F.col("_d_text") == F.col("t"), "left")
+    return out.select(*carry, F.coalesce("_d_hits", F.expr(f"cast(array() as {hits})")).alias("_d_hits"))
 
 
 def _finder(index, min_words: int, min_identity: float, arrow: pa.DataType):
@@ -147,27 +208,36 @@ def _finder(index, min_words: int, min_identity: float, arrow: pa.DataType):
             found: dict[int, dict[int, dict]] = {}
             for a, _, data, offsets in V.chunks(batch.column(batch.schema.get_field_index("_d_text"))):
                 w = V.words(data, offsets, V.PUNCTUATION)
-                points = None
-                for doc, it, shift in ix.hits(w).tolist():
-                    f0, f1, g0, g1 = w.first[doc], w.first[doc + 1], ix.words.first[it], ix.words.first[it + 1]
-                    lo, hi = max(0, -shift), min(g1 - g0, f1 - f0 - shift)
-                    best = best_stretch(ix.words.hash[g0 + lo : g0 + hi] == w.hash[f0 + shift + lo : f0 + shift + hi], min_identity, max(1, min(min_words, g1 - g0)))
-                    old = found.setdefault(a + doc, {}).get(it)
-                    if best and (not old or best[2] > old["equal"]):
-                        s, e, equal = best
-                        points = V.code_points(data) if points is None else points
-                        first, last = f0 + shift + lo + s, f0 + shift + lo + e - 1
-                        base = points[offsets[doc]]
-                        found[a + doc][it] = {"item": ix.ids[it], "start": int(points[w.start[first]] - base), "end": int(points[w.end[last]] - base), "words": int(e - s), "equal": equal}
+                found |= {a + doc: v for doc, v in _best(ix, w, data, offsets, min_words, min_identity).items()}
             at = batch.schema.get_field_index("_d_hits")
-            old = batch.column(at).to_pylist()
-            hits = pa.array([[*x, *(h for _, h in sorted(found.get(i, {}).items()))] for i, x in enumerate(old)], shape)
+            hits = pa.array([[h for _, h in sorted(found.get(i, {}).items())] for i in range(batch.num_rows)], shape)
             yield pa.RecordBatch.from_arrays([c if i != at else hits for i, c in enumerate(batch.columns)], batch.schema.names)
 
     return run
 
 
+def _best(ix: Index, w: V.Words, data: np.ndarray, offsets: np.ndarray, min_words: int, min_identity: float) -> dict[int, dict[int, dict]]:
+    """By text and item number the best overlap of those that seeds propose."""
+    found: dict[int, dict[int, dict]] = {}
+    points = None
+    for doc, it, shift in ix.hits(w).tolist():
+        f0, f1, g0, g1 = w.first[doc], w.first[doc + 1], ix.words.first[it], ix.words.first[it + 1]
+        lo, hi = max(0, -shift), min(g1 - g0, f1 - f0 - shift)
+        best = best_stretch(ix.words.hash[g0 + lo : g0 + hi] == w.hash[f0 + shift + lo : f0 + shift + hi], min_identity, max(1, min(min_words, g1 - g0)))
+        old = found.get(doc, {}).get(it)
+        if best and (not old or best[2] > old["equal"]):
+            s, e, equal = best
+            points = V.code_points(data) if points is None else points
+            first, last = f0 + shift + lo + s, f0 + shift + lo + e - 1
+            base = points[offsets[doc]]
+            found.setdefault(doc, {})[it] = {"item": ix.ids[it], "start": int(points[w.start[first]] - base), "end": int(points[w.end[last]] - base), "words": int(e - s), "equal": equal}
+    return found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", **limits) -> DataFrame:
-    """A row per document and benchmark item that overlap: key, item, ``start``, ``end``, ``n_words``, ``n_equal``."""
-    found = mark(docs, benchmark, text, item, item_text, carry=[key], **limits)
-    return found.select(key, F.explode("_d_hits").alias("h")).select(key, F.col("h.item").alias(item), F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.words").alias("n_words"), F.col("h.equal").alias("n_equal"))
+    """A row per document and benchmark item that overlap: key, item, ``start``, ``end``, ``n_words``, ``n_equal``.
+
+    As in ``mark``; other columns, whatever their names, are neither read nor returned."""
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    found = mark(rows, benchmark, "_text", item, item_text, carry=["_key"], **limits)
+    return found.select(F.col("_key").alias(key), F.explode("_d_hits").alias("h")).select(key, F.col("h.item").alias(item), F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.words").alias("n_words"), F.col("h.equal").alias("n_equal"))
