@@ -470,7 +470,7 @@ def test_decontamination(spark, odd, empty):
 def test_decontamination_in_blocks(spark, docs, sf_dir, monkeypatch):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     once = Counter(rows_of(decontam.contaminated(docs, bench)))
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 3000)
     assert Counter(rows_of(decontam.contaminated(docs, bench))) == once
     norm = lambda t: " " + " ".join(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())) + " "
     items = {r["item_id"]: norm(r["text"]) for r in bench.collect()}
@@ -478,6 +478,35 @@ def test_decontamination_in_blocks(spark, docs, sf_dir, monkeypatch):
     assert whole <= {t[:2] for t in once}
 
 
+def test_overlaps_equal_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(18)
+    items = {n: [f"i{n}x{j}" if r.random() < 0.9 else "the" for j in range(size)] for n, size in enumerate((3, 7, 12, 13, 20, 30, 60))}
+    rows = []
+    for d in range(120):
+        words = [f"d{d}x{j}" for j in range(20)]
+        for n in r.choice(len(items), 2, replace=False):
+            lo = int(r.integers(0, len(items[n])))
+            part = items[n][lo // 2 : len(items[n]) - lo // 3]
+            words += [x if r.random() < r.choice([0.7, 0.85, 1.0]) else f"s{d}" for x in part] + [f"é{d}"] * int(r.integers(0, 3))
+        rows.append((d, ", ".join(words)))
+    want = set()
+    for d, text in rows:
+        w = [(m.start(), m.end(), m.group()) for m in re.finditer("[^, ]+", text)]
+        for n, item in items.items():
+            best = None
+            for shift in range(-len(item) + 1, len(w)):
+                lo, hi = max(0, -shift), min(len(item), len(w) - shift)
+                found = decontam.best_stretch(np.array([item[i] == w[i + shift][2] for i in range(lo, hi)]), 0.8, min(13, len(item)))
+                if found and (best is None or found[2] > best[3]):
+                    best = (w[shift + lo + found[0]][0], w[shift + lo + found[1] - 1][1], found[1] - found[0], found[2])
+            if best:
+                want.add((d, n, *best))
+    table, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    assert len(want) > 60 and set(rows_of(decontam.contaminated(table, bench))) == want
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 0)
+    assert set(rows_of(decontam.contaminated(table, bench))) == want
+
+
 def test_masks_hit_every_stretch():
     for n in range(13, 26):
         whole = (1 << n) - 1
@@ -602,6 +631,52 @@ def test_normaliser_splits_members(tmp_path):
     assert warc.read_record(target, *index[2])["payload_bytes"] == 2000
 
 
+@pytest.mark.parametrize("piece", [7, 64, 1000])
+def test_normaliser_in_pieces(monkeypatch, piece):
+    import io
+
+    monkeypatch.setattr(warc, "PIECE", piece)
+    bodies = [np.random.default_rng(i).bytes(n) for i, n in enumerate((0, 1, 63, 64, 65, 5000))]
+    records = [warc.record(i, f"http://h/{i}", b, len(b), hashlib.sha1(b).hexdigest(), False, None) for i, b in enumerate(bodies)]
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    whole = z.compress(b"".join(records)) + z.flush()
+    target = io.BytesIO()
+    index = list(warc.normalise(io.BytesIO(whole), target))
+    assert [zlib.decompress(target.getvalue()[a : a + n], 31) for a, n in index] == records
+    for cut in (5, len(whole) // 2, len(whole) - 1):
+        with pytest.raises(ValueError):
+            list(warc.normalise(io.BytesIO(whole[:cut]), io.BytesIO()))
+
+
+def test_archives_are_rotated(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    ws = warc.Workspace(spark, "rotated")
+    found = warc.write_archives(warc.plan(pages, "page_id", "url", "html", ws), ws.folder("raw"), 20_000).collect()
+    assert len(found) > 4 and sum(r["records"] for r in found) == pages.count() and sorted(r["bytes"] for r in found)[-1] < 200_000
+    assert Counter(rows_of(warc.round_trip(pages, archive_bytes=20_000))) == plain_warc([tuple(r) for r in pages.collect()])
+
+
+def test_shards_equal_a_plain_descent(spark, docs, odd):
+    import math
+
+    def draw(key, name, weight):
+        h = spark.sql(f"select xxhash64('{name}', '{key}') h").first()["h"]
+        return -math.log((((h & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53)) / weight
+
+    def plain(key, node, name=""):
+        while isinstance(node, dict):
+            children = [(f"{name}/{k}", k, v) for k, v in node.items() if shards._weight(v) > 0]
+            name, k, v = min(children, key=lambda c: draw(key, c[0], shards._weight(c[2]))) if len(children) > 1 else children[0]
+            node = v if isinstance(v, dict) else k
+        return node
+
+    weights = {"a": {"x": {0: 1.0, 1: 3.0}, "y": {2: 0.5}}, "b": {"x": {3: 2.0, 4: 0.0}}}
+    for table, tree, grown in ((docs.limit(25), shards.tree(8), shards.tree(9)), (odd.limit(12), weights, shards.tree(3))):
+        for r in shards.shard(table, nodes=tree, grown=grown).collect():
+            key = "" if r["doc_id"] is None else r["doc_id"]
+            assert (r["shard"], r["grown_shard"]) == (plain(key, tree), plain(key, grown))
+
+
 # -- 5: sharding -----------------------------------------------------------------------------
 
 
