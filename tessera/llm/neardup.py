@@ -8,10 +8,9 @@ accidental register collisions, and what passes is confirmed on full shingle set
 The work per document is linear and no group of copies is expanded into pairs:
 
 1. documents with the same set are one node (``groupBy`` on a 128-bit set identity);
-2. in each band bucket every node is compared with the bucket's smallest node only;
-3. in buckets that hold several components after that, nodes are compared with the bucket's most central member
-   and with one of its largest component, drawn for each bucket by itself;
-4. nodes that are still outside look for their links by a prefix join of their rarest shingles, exactly.
+2. in each band bucket every node is compared with the bucket's smallest and its most central node only;
+3. in buckets that hold several components after that, nodes outside the largest one look for their links by a
+   prefix join of their rarest shingles, exactly.
 """
 
 from __future__ import annotations
@@ -178,31 +177,33 @@ def confirm(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return joined.where(f"100L * x >= {percent}L * (t - x)").select("a", "b")
 
 
-def residue(buckets: DataFrame, labels: DataFrame, ws: Workspace, name: str) -> DataFrame | None:
-    """What stars can't show: rows ``k``, ``id``, ``comp`` of buckets of three nodes or more that hold several
-    components, with the bucket's largest component ``lead``, a ``head`` out of it, drawn for each bucket
-    by itself, and the bucket's ``centre``, the member that meets most others in all its buckets: variants of a text are
-    often closer to their origin than to each other. One bucket stands for all with the same members. None if there
-    are no such buckets."""
+def hubs(buckets: DataFrame, ws: Workspace) -> DataFrame:
+    """Pairs ``a``, ``b``: every node with the least and with the centre of each of its buckets (``k``, ``id``, ``head``, ``m``).
+
+    The centre is the member that meets most others in all its buckets: variants of a text are often closer to their
+    origin than to each other. Ties are drawn for each bucket by itself."""
+    large = buckets.where("m > 2")
+    met = ws.save(large.groupBy("id").agg(F.sum("m").alias("met")), "met")
+    centres = large.join(met, "id").groupBy("k").agg(F.max(F.struct("met", F.xxhash64("k", "id").alias("drawn"), "id")).alias("x"))
+    centres = ws.save(centres.select("k", F.col("x.id").alias("centre")), "centres")
+    pairs = buckets.select("id", F.col("head").alias("other")).unionByName(large.join(centres, "k").select("id", F.col("centre").alias("other")))
+    return pairs.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def residue(buckets: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame | None:
+    """What hubs don't show: nodes ``id`` of buckets that hold several components, their ``comp`` and whether they lie
+    outside the largest one of some bucket (``seeks``). One bucket stands for all with the same members. None if
+    there are no such buckets."""
     named = buckets.where("m > 2").select("k", "id", "m").join(labels.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "m", F.coalesce("component", "id").alias("comp"))
     members = [F.first("m").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64(F.lit(7), "id").cast("decimal(20)")).alias("s")]
     mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members)
-    mixed = ws.save(mixed.where("lo <> hi").groupBy("x", "m", "s").agg(F.min("k").alias("k")).select("k"), f"{name}-mixed")
+    mixed = ws.save(mixed.where("lo <> hi").groupBy("x", "m", "s").agg(F.min("k").alias("k")).select("k"), "mixed")
     if mixed.isEmpty():
         return None
-    chosen = ws.save(named.join(mixed, "k"), f"{name}-rows")
-    met = ws.save(chosen.groupBy("id").agg(F.sum("m").alias("met")), f"{name}-met")
-    drawn = F.xxhash64("k", "id").alias("h")
-    sizes = chosen.join(met, "id").groupBy("k", "comp").agg(F.count("*").alias("c"), F.min(F.struct(drawn, "id")).alias("head"), F.max(F.struct("met", drawn, "id", "comp")).alias("centre"))
-    leads = sizes.groupBy("k").agg(F.max(F.struct("c", F.col("comp").alias("lead"), F.col("head.id").alias("head"))).alias("x"), F.max("centre").alias("y"))
-    leads = ws.save(leads.select("k", "x.lead", "x.head", F.col("y.id").alias("centre"), F.col("y.comp").alias("centre_comp")), f"{name}-leads")
-    return chosen.drop("m").join(leads, "k")
-
-
-def spokes(rest: DataFrame) -> DataFrame:
-    """Pairs of ``residue``'s nodes: each of another component with its bucket's centre, and with a member of the largest one."""
-    pair = lambda other, comp: rest.where(f"comp <> {comp}").select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b"))
-    return pair("centre", "centre_comp").unionByName(pair("head", "lead")).distinct()
+    chosen = ws.save(named.join(mixed, "k").drop("m"), "chosen")
+    sizes = chosen.groupBy("k", "comp").agg(F.count("*").alias("c"))
+    leads = ws.save(sizes.groupBy("k").agg(F.max_by("comp", F.struct("c", "comp")).alias("lead")), "leads")
+    return chosen.join(leads, "k").groupBy("id").agg(F.first("comp").alias("comp"), F.bool_or(F.expr("comp <> lead")).alias("seeks"))
 
 
 #: Counters by which shingles are told rare from frequent: 2 ** COUNTER_BITS bytes, whatever the input.
@@ -270,9 +271,8 @@ def link(pairs_of: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame]
     ``items`` of the nodes asked for; links ``given`` count as they are. No link between nodes that share
     a bucket is lost:
 
-    1. every node meets the least of each of its buckets;
-    2. in buckets that hold several components, nodes meet the bucket's centre and one of its largest component;
-    3. of buckets that still do, nodes outside the largest component seek their links by prefix joins, exactly.
+    1. every node meets the least and the centre of each of its buckets;
+    2. of buckets that still hold several components, nodes outside the largest seek their links by prefix joins, exactly.
 
     Returns ``node``, ``component`` of linked nodes."""
 
@@ -284,34 +284,25 @@ def link(pairs_of: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame]
         ws.drop(f"{name}-pairs", f"{name}-items")
         return edges
 
-    def grown(labels: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-        """Components after further links; those known are stars already."""
-        if edges.isEmpty():
-            return labels
-        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        return ws.save(components(known.unionByName(edges), ws, f"{name}-cc"), f"{name}-labels")
-
     # written, so that the planner knows its size, broadcasts it if small and splits hot buckets if not
     heads = ws.save(keys.groupBy("k").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1"), "heads")
     buckets = ws.save(keys.join(heads, "k"), "buckets")
-    edges = confirmed(buckets.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "first")
+    edges = confirmed(hubs(buckets, ws), "first")
     labels = ws.save(components(edges.unionByName(given) if given is not None else edges, ws), "labels")
 
-    rest = residue(buckets, labels, ws, "second")
-    if rest is None:
+    sought = residue(buckets, labels, ws)
+    if sought is None:
         return labels
-    labels = grown(labels, confirmed(spokes(rest), "second"), "second")
-    rest = residue(buckets, labels, ws, "third")
-    ws.drop("buckets", "heads")
-    if rest is None:
-        return labels
-    sought = rest.groupBy("id").agg(F.first("comp").alias("comp"), F.bool_or(F.expr("comp <> lead")).alias("seeks"))
     sought = ws.save(sought, "sought")
-    items = ws.save(fetch(sought.select("id")).join(sought, "id"), "third-sets")
+    ws.drop("buckets", "heads", "met", "centres", "mixed", "chosen", "leads")
+    items = ws.save(fetch(sought.select("id")).join(sought, "id"), "sets")
     rows = ws.save(prefixes(items, rarity(items), percent), "prefixes")
-    edges = confirmed(exact_pairs(rows, percent), "third")
-    ws.drop("prefixes", "third-sets", "sought")
-    return grown(labels, edges, "third")
+    edges = confirmed(exact_pairs(rows, percent), "last")
+    ws.drop("prefixes", "sets", "sought")
+    if edges.isEmpty():
+        return labels
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stars already
+    return ws.save(components(known.unionByName(edges), ws, "last-cc"), "last-labels")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 80) -> DataFrame:

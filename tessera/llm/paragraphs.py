@@ -236,14 +236,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     # Paragraphs of a document that overlap, and share a fate, are one passage; so are a document's windows
     # that follow each other without another between and repeat the same document.
-    whole, own = W.partitionBy("doc").orderBy("start", "end"), W.partitionBy("doc", "kept").orderBy("start", "end")
+    whole, own = W.partitionBy("doc").orderBy("start", "end", "nth"), W.partitionBy("doc", "kept").orderBy("start", "end", "nth")
     before = lambda order: order.rowsBetween(W.unboundedPreceding, -1)
     follows = (F.lag("nth").over(own) + 1 == F.col("nth")) & (F.lag("fdoc").over(own) == F.col("fdoc"))
-    islands = places.withColumns({
-        "beside": F.when(F.max("end").over(before(whole)) > F.col("start"), F.lag("near").over(whole)),
-        "within": F.when((F.max("end").over(before(own)) > F.col("start")) | follows, F.lag("near").over(own)),
-    }).withColumn("island", F.count_if(F.col("within").isNull()).over(own.rowsBetween(W.unboundedPreceding, 0)))
-    islands = ws.save(islands.select("doc", "start", "end", "words", "near", "kept", "island", "beside", "within"), "islands")
+    running = lambda first, order: F.count_if(first).over(order.rowsBetween(W.unboundedPreceding, 0))
+    apart = lambda order: ~F.coalesce(F.max("end").over(before(order)) > F.col("start"), F.lit(False))
+    islands = places.withColumns({"a": apart(whole), "b": apart(own) & ~F.coalesce(follows, F.lit(False))})
+    islands = islands.withColumns({"heap": running(F.col("a"), whole), "island": running(F.col("b"), own)})
+    least = [F.min("near").over(W.partitionBy("doc", "heap")).alias("beside"), F.min("near").over(W.partitionBy("doc", "kept", "island")).alias("within")]
+    islands = ws.save(islands.select("doc", "start", "end", "words", "near", "kept", "island", *least), "islands")
 
     # What overlaps in some document is one component, named by its first place.
     met = [islands.select(F.col("near").alias("a"), F.col(c).alias("b")) for c in ("beside", "within")]
