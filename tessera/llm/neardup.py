@@ -264,11 +264,12 @@ def exact_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return p.join(q, (p["t"] == q["t"]) & fits).select(F.least("pid", "qid").alias("a"), F.greatest("pid", "qid").alias("b")).distinct()
 
 
-def link(pairs_of: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], keys: DataFrame, ws: Workspace, percent: int = 80, given: DataFrame | None = None) -> DataFrame:
+def link(pairs_of: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], keys: DataFrame, ws: Workspace, percent: int = 80, given: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """Components of nodes under Jaccard >= percent / 100 of their sets; work is linear in the bucket rows.
 
     ``keys`` holds ``id``, ``k`` for each band, ``pairs_of(pairs)`` drops pairs that a cheap look rules out, ``fetch(ids)`` returns ``id``,
-    ``items`` of the nodes asked for; links ``given`` count as they are. No link between nodes that share
+    ``items`` of the nodes asked for (out of a table already, if ``stored``; the first call asks for all that later ones do unless
+    ``pairs_of`` drops pairs); links ``given`` count as they are. No link between nodes that share
     a bucket is lost:
 
     1. every node meets the least and the centre of each of its buckets;
@@ -279,7 +280,7 @@ def link(pairs_of: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame]
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = ws.save(pairs_of(pairs), f"{name}-pairs")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        items = ws.save(fetch(ids), f"{name}-items")
+        items = fetch(ids) if stored else ws.save(fetch(ids), f"{name}-items")
         edges = ws.save(confirm(pairs, items, percent), f"{name}-edges")
         ws.drop(f"{name}-pairs", f"{name}-items")
         return edges

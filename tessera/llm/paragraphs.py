@@ -220,11 +220,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     proposed = ws.save(_paragraph_sets(docs, key, text, windows.select("id"), names.where("window")), "window-sets")
     keys = lines.select("id", F.explode("keys").alias("k")).unionByName(_window_bands(proposed))
 
+    kept: list[DataFrame] = []
+
     def fetch(ids: DataFrame) -> DataFrame:
-        of_lines = _paragraph_sets(docs, key, text, ids.where("id % 2 = 0"), names.where("not window"))
-        return of_lines.unionByName(proposed.join(ids, "id", "left_semi"))
+        """Texts are read for the first call only, which asks for every class that shares a bucket."""
+        if not kept:
+            kept.append(ws.save(_paragraph_sets(docs, key, text, ids.where("id % 2 = 0"), names.where("not window")), "line-sets").unionByName(proposed))
+        return kept[0].join(ids, "id", "left_semi")
 
-    labels = link(lambda pairs: pairs, fetch, keys, ws, percent)
+    labels = link(lambda pairs: pairs, fetch, keys, ws, percent, stored=True)
 
     # A component keeps its first place, and windows of its like that overlap it; what it repeats in another document is shown.
     named = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("near", F.coalesce("component", "id"))
@@ -257,5 +261,5 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     gone = F.max(F.when(~F.col("kept"), F.col("end"))).over(W.partitionBy("doc").orderBy("start"))
     out = out.withColumn("gone", gone).where("not kept or gone is null or gone < end")
     out = ws.save(out.select(F.col("doc").alias(key), "start", "end", "n_words", "component_id", "kept"), "passages")
-    ws.drop("units", "lines", "windows", "window-sets", "spans", "shared", "islands", "names")
+    ws.drop("units", "lines", "windows", "window-sets", "line-sets", "spans", "shared", "islands", "names")
     return out

@@ -174,11 +174,11 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Consecutive rows of a string column of about ``limit`` bytes: first row, end row, bytes, offsets."""
-    data, offsets = texts(column)
-    a, n = 0, len(offsets) - 1
+    bounds = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
+    a, n = 0, len(column)
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
-        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + limit, "right")) - 1)
+        yield a, b, *texts(column.slice(a, b - a))  # copies so many rows only, whatever the batch's size
         a = b
 
 
