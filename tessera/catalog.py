@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import feature_sql
 from .functions import arrays as A, autocorrelation as C, complexity as X, level as L, runs as R, spectral as S
 from .operators import aggregates as G, audits as U, cleaning as K, models as M, ranks, relations as J, statistics as T, thresholds as H
 from .plans import features as P
@@ -690,11 +691,12 @@ def cluster_majority_cv(spark, sf_dir):
 
 def _feature_query(name: str):
     def run(spark, sf_dir):
-        return P.build_set(name, series.student_frame(spark, sf_dir))
+        found = P.build_set(name, series.student_frame(spark, sf_dir))
+        return found.select(*P.KEEP, *[(F.round(F.col(f"`{c}`"), 6) + 0.0).alias(c) for c in found.columns if c not in P.KEEP])
 
     run.__name__ = f"features_{name}"
     return run
 
 
 for _name in P.REGISTRY:
-    query()(_feature_query(_name))
+    query(feature_sql.sql(_name))(_feature_query(_name))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .ranks import exact_quantiles
+
 
 def value_counts(df: DataFrame, key: str, domain: Sequence | None = None) -> DataFrame:
     """Rows per value; over a ``domain`` absent values count 0 and others are left out."""
@@ -64,26 +66,24 @@ def encode_out_of_fold(df: DataFrame, key: str, label: str, fold: str, classes:
 
 def contrast(df: DataFrame, features: Sequence[str], group: Column) -> DataFrame:
     """Mean and median of features inside and outside a group and the difference of means, a row per feature."""
-    aggs = []
-    for f in features:
-        inside, outside = F.when(group, F.col(f)), F.when(~group, F.col(f))
-        aggs.append(F.struct(F.lit(f).alias("feature"), F.avg(inside).alias("mean_in"), F.avg(outside).alias("mean_out"), F.percentile(inside, F.lit(0.5)).alias("median_in"), F.percentile(outside, F.lit(0.5)).alias("median_out")).alias(f))
-    rows = df.agg(*aggs).select(F.explode(F.array(*features)).alias("r")).select("r.*")
-    return rows.withColumn("delta", F.col("mean_in") - F.col("mean_out"))
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
+    long = df.select(group.alias("__in"), F.explode(pairs).alias("r")).where("__in is not null").select("__in", "r.feature", "r.x")
+    inside, outside = F.when(F.col("__in"), F.col("x")), F.when(~F.col("__in"), F.col("x"))
+    rows = long.groupBy("feature").agg(F.avg(inside).alias("mean_in"), F.avg(outside).alias("mean_out"))
+    half = lambda test, name: exact_quantiles(long.where(test), [0.5]).select("feature", F.get("q", F.lit(0)).alias(name))
+    rows = rows.join(half("__in", "median_in"), "feature", "left").join(half("not __in", "median_out"), "feature", "left")
+    return rows.withColumn("delta", F.col("mean_in") - F.col("mean_out")).select("feature", "mean_in", "mean_out", "median_in", "median_out", "delta")
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, quartiles, missing and distinct values, a row per column."""
-    aggs = []
-    for c in columns:
-        q = F.percentile(c, F.lit(0.25)), F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75))
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
-                F.max(c).cast("double").alias("max"), F.count_if(F.col(c).isNull()).alias("missing"), F.countDistinct(c).alias("n_distinct"),
-            ).alias(c)
-        )
-    return df.agg(*aggs).select(F.explode(F.array(*columns)).alias("r")).select("r.*")
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(F.explode(pairs).alias("r")).select("r.feature", "r.x")
+    rows = long.groupBy("feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count_if(F.col("x").isNull()).alias("missing"))
+    q = exact_quantiles(long, [0.25, 0.5, 0.75])
+    at = lambda i: F.get("q", F.lit(i))
+    both = rows.join(q.drop("n"), "feature", "left")
+    return both.select("feature", "n", "mean", "std", "min", at(0).alias("q25"), at(1).alias("q50"), at(2).alias("q75"), "max", "missing", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"))
 
 
 def cluster_majority(df: DataFrame, cluster: str, label: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .cleaning import products
 from .models import fit_predict, out_of_fold, regressor, stratified_folds
 from .ranks import with_ranks, zscore
-from .statistics import average_rank, partial, risk, safe_corr, screen, shift_moments, spearman, unpivot
+from .statistics import partial, risk, safe_corr, screen, shift_moments, spearman, unpivot, with_average_ranks
 
 
 def residual_audit(df: DataFrame, id_col: str, seed: str, features: Sequence[str], residual: str, is_test=None) -> DataFrame:
@@ -39,7 +39,7 @@ def stable(df: DataFrame, smd: str = "smd", gain: str = "gain", max_smd: float =
 def rank_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Correlation of the ranks of every two scores: how alike models order the rows."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations(columns, 2)])).alias("r")).select("r.*")
-    ranked = long.withColumns({"__x": average_rank("x", ["pair"]), "__y": average_rank("y", ["pair"])})
+    ranked = with_average_ranks(long, {"__x": "x", "__y": "y"}, ["pair"])
     return ranked.groupBy("pair").agg(safe_corr("__x", "__y").alias("r")).select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
 
 

@@ -69,9 +69,13 @@ def scrub(df: DataFrame, columns: Iterable[str], value: float = 0.0) -> DataFram
 
 
 def medians(df: DataFrame, columns: Iterable[str]) -> dict[str, float | None]:
-    """Exact medians of what is finite, from one pass."""
-    row = df.agg(*[F.percentile(finite_or(F.col(c), None), F.lit(0.5)).alias(c) for c in columns]).first()
-    return row.asDict()
+    """Exact medians of what is finite, all columns in one long frame."""
+    from .ranks import exact_quantiles
+
+    columns = list(columns)
+    pairs = F.array(*[F.struct(F.lit(i).alias("feature"), finite_or(F.col(c), None).alias("x")) for i, c in enumerate(columns)])
+    found = {r["feature"]: r["q"][0] for r in exact_quantiles(df.select(F.explode(pairs).alias("r")).select("r.*"), [0.5]).collect()}  # a row per column
+    return {c: found.get(i) for i, c in enumerate(columns)}
 
 
 def impute_median(df: DataFrame, columns: Iterable[str], fitted: Mapping[str, float | None] | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import pin
 from .aggregates import cluster_majority
-from .ranks import quartile_bin, quartile_label, with_ranks, zscore_within
+from .ranks import places_within, quartile_bin, quartile_label, rank_then_z, with_positions, with_ranks, zscore_within
 from .relations import draw
 from .statistics import safe_corr
 
@@ -24,8 +24,8 @@ from .statistics import safe_corr
 def stratified_folds(df: DataFrame, id_col: str, label: str, folds: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
     """``df`` with folds of equal class shares: rows of a class are dealt in order of an MD5 of id and seed."""
     order = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")).cast("binary"))
-    place = F.row_number().over(W.partitionBy(label).orderBy(order, id_col)) - 1
-    return df.withColumn(name, F.pmod(place, F.lit(folds)).cast("int"))
+    placed = places_within(df.withColumn("__order", order), [label], ["__order", id_col], "__place")
+    return placed.withColumn(name, F.pmod(F.col("__place") - 1, F.lit(folds)).cast("int")).drop("__order", "__place")
 
 
 def assemble(features: Sequence[str], scale: bool = False) -> list:
@@ -107,6 +107,27 @@ def monotone_accuracy(scores: DataFrame, id_col: str, label: str, classes: int =
     return ranked.withColumn("__p", p).groupBy("feature").agg(F.greatest(hit(F.col("__p")), hit(F.lit(classes - 1) - F.col("__p"))).alias("accuracy"))
 
 
+def one_against_rest(train: DataFrame, apply: DataFrame, features: Sequence[str], label: str, id_col: str, classes: int = 4, make: Callable[[int], object] = lambda seed: classifier("gbt", seed), seed: int = 42) -> DataFrame:
+    """Class shares ``score`` from a two-class model per class, brought to a sum of 1 (equal shares if all are 0).
+
+    Makes a classifier of several classes out of boosted trees, which take two only. A class without a training row has share 0."""
+    total = None
+    for k in range(classes):
+        if train.where(F.col(label) == k).isEmpty():
+            one = apply.select(id_col, F.lit(k).alias("k"), F.lit(0.0).alias("p"))
+        else:
+            one = fit_predict(train, apply, features, F.col(label) == k, make(seed), id_col).select(id_col, F.lit(k).alias("k"), F.get("score", F.lit(1)).alias("p"))
+        total = one if total is None else total.unionByName(one)
+    shares = F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda s: s["p"])  # a row per class
+    return total.groupBy(id_col).agg(shares.alias("s"), F.sum("p").alias("t")).select(id_col, F.transform("s", lambda p: F.when(F.col("t") > 0, p / F.col("t")).otherwise(F.lit(1.0 / classes))).alias("score"))
+
+
+def family_rank_blend(scores: DataFrame, id_col: str, family: str, seed: str, score: str) -> DataFrame:
+    """Mean over families of the z-score of ranks of each family's mean score over its seeds, ``blend`` per id."""
+    means = scores.groupBy(id_col, family).agg(F.avg(score).alias("__m"))
+    return rank_then_z(means, "__m", id_col, [family], name="__z").groupBy(id_col).agg(F.avg("__z").alias("blend"))
+
+
 def expected_value(probabilities: Column) -> Column:
     return F.aggregate(F.transform(probabilities, lambda p, i: p * i), F.lit(0.0), lambda s, x: s + x)
 
@@ -168,11 +189,21 @@ def rank_blend_sweep(df: DataFrame, id_col: str, first: str, second: str, label:
     return quartile_accuracy(long, id_col, "x", label, by=["w"])
 
 
-def nested_correction(df: DataFrame, id_col: str, features: Sequence[str], percentile: str, label: str, folds: int = 5, seed: int = 10042, alpha: float = 20.0) -> DataFrame:
-    """Out-of-fold ridge estimates of how far a percentile lies from the middle of the row's class."""
+def nested_correction(df: DataFrame, id_col: str, features: Sequence[str], percentile: str, label: str, folds: int = 5, seed: int = 10042, alpha: float = 20.0, kind: str = "ridge") -> DataFrame:
+    """Out-of-fold estimates of how far a percentile lies from the middle of the row's class, by ``ridge`` of ``alpha`` or by ``gbt``."""
     rows = stratified_folds(df.withColumn("residual", (F.col(label) + 0.5) / 4 - F.col(percentile)), id_col, label, folds, seed)
     n = rows.count()
-    return out_of_fold(rows, "fold", folds, lambda a, b: fit_predict(a, b, features, F.col("residual"), regressor("ridge", alpha=alpha, n=n), id_col, scale=True)).withColumnRenamed("score", "correction")
+    return out_of_fold(rows, "fold", folds, lambda a, b: fit_predict(a, b, features, F.col("residual"), regressor(kind, alpha=alpha, n=n), id_col, scale=True)).withColumnRenamed("score", "correction")
+
+
+def correction_grid(df: DataFrame, id_col: str, features: Sequence[str], percentile: str, label: str, alphas: Sequence[float] = (1.0, 5.0, 20.0, 100.0), kinds: Sequence[str] = ("ridge", "gbt"), folds: int = 5, seed: int = 10042) -> DataFrame:
+    """``nested_correction`` for every ridge ``alpha`` and for boosted trees: ``config``, id, ``correction``."""
+    configs = [(f"ridge-{a:g}", "ridge", a) for a in alphas if "ridge" in kinds] + ([("gbt", "gbt", 0.0)] if "gbt" in kinds else [])
+    out = None
+    for name, kind, alpha in configs:
+        one = nested_correction(df, id_col, features, percentile, label, folds, seed, alpha, kind).select(F.lit(name).alias("config"), id_col, "correction")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def cluster(train: DataFrame, apply: DataFrame, features: Sequence[str], k: int, pca: int | None = None, seed: int = 42) -> DataFrame:
@@ -205,11 +236,11 @@ def permutation_importance(df: DataFrame, id_col: str, features: Sequence[str],
     ``model`` maps a frame with the features to one with ``score``."""
     r2 = lambda frame: (frame.agg(safe_corr("score", label)).first()[0] or 0.0) ** 2
     base, rows = r2(model(df)), []
-    numbered = df.withColumn("__i", F.row_number().over(W.orderBy(id_col)))
+    numbered = with_positions(df, [id_col], "__i")
     for f in features:
         losses = []
         for k in range(repeats):
-            other = df.select(F.col(f), F.row_number().over(W.orderBy(draw(seed + k, id_col, F.lit(f)), id_col)).alias("__i"))
+            other = with_positions(df.select(F.col(f), F.col(id_col).alias("__id"), draw(seed + k, id_col, F.lit(f)).alias("__draw")), ["__draw", "__id"], "__i").select(f, "__i")
             losses.append(base - r2(model(numbered.drop(f).join(other, "__i").drop("__i"))))
         rows.append((f, sum(losses) / repeats))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")

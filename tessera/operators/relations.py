@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .ranks import places_within, with_positions
+
 
 def zip_by_id(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
     """Rows of two frames side by side; raises if their ids aren't the same."""
@@ -86,13 +88,17 @@ def mixup(df: DataFrame, id_col: str, label: str, numeric: Sequence[str], catego
 
     Numbers are weighted means with a weight from ``low`` to ``high``, categories come from the first donor, and of
     the completed and assigned ``counts`` (whole numbers) the first is not above the second. New ids are
-    negative. Donors are dealt by seeded places within labels: a factor of 0 leaves ``df`` as it is."""
+    negative, below all of ``df``'s. Donors are dealt by seeded places within labels: a factor of 0 leaves ``df`` as it is."""
     if factor <= 0:
         return df
-    spots = df.withColumn("__i", F.row_number().over(W.partitionBy(label).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")), id_col)) - 1)
+    spots = df.withColumn("__o", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")))
+    spots = places_within(spots, [label], ["__o", id_col], "__i").withColumn("__i", F.col("__i") - 1).drop("__o")
     sizes = df.groupBy(label).agg(F.count("*").alias("__n"))
     wanted = sizes.withColumn("__k", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__n") * factor).cast("int"))))
-    wanted = wanted.where(F.col("__k") <= F.round(F.col("__n") * factor)).withColumns({"__a": F.floor(draw(seed + 1, label, "__k") * F.col("__n")), "__b": F.floor(draw(seed + 2, label, "__k") * F.col("__n")), "__w": F.lit(low) + F.lit(high - low) * draw(seed + 3, label, "__k")})
+    # new rows are numbered through all labels: no two ids are equal, and none is one of ``df``'s
+    lowest = F.broadcast(df.agg(F.least(F.coalesce(F.min(F.col(id_col).cast("long")), F.lit(0)), F.lit(0)).alias("__low")))  # one row
+    wanted = with_positions(wanted.where(F.col("__k") <= F.round(F.col("__n") * factor)), [label, "__k"], "__new").crossJoin(lowest)
+    wanted = wanted.withColumns({"__a": F.floor(draw(seed + 1, label, "__k") * F.col("__n")), "__b": F.floor(draw(seed + 2, label, "__k") * F.col("__n")), "__w": F.lit(low) + F.lit(high - low) * draw(seed + 3, label, "__k")})
     side = lambda p: spots.select(F.col(label).alias(f"{p}_label"), F.col("__i").alias(f"{p}_i"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != label])
     a, b = side("a"), side("b")
     pairs = wanted.join(a, (F.col(label) == F.col("a_label")) & (F.col("__a") == F.col("a_i"))).join(b, (F.col(label) == F.col("b_label")) & (F.col("__b") == F.col("b_i")))
@@ -101,7 +107,7 @@ def mixup(df: DataFrame, id_col: str, label: str, numeric: Sequence[str], catego
     for c in df.columns:
         kind = df.schema[c].dataType.simpleString()
         if c == id_col:
-            out.append((-(F.row_number().over(W.partitionBy(label).orderBy("__k")) * 1000 + F.pmod(F.xxhash64(label), F.lit(1000)))).cast(kind).alias(c))
+            out.append((F.col("__low") - F.col("__new")).cast(kind).alias(c))
         elif c == label:
             out.append(F.col(label))
         elif counts and c in counts:

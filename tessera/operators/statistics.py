@@ -6,12 +6,13 @@ many features are many groups of one plan, not many windows of one row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .cleaning import finite_or
+from .ranks import exact_quantiles, same, with_ranks
 
 
 def unpivot(df: DataFrame, id_cols: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -25,10 +26,15 @@ def safe_corr(x: str, y: str) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
-def average_rank(value: str, within: Sequence[str]) -> Column:
-    """Ranks within groups, ties at their mean."""
-    w, tied = W.partitionBy(*within), W.partitionBy(*within, value)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(tied) - 1) / 2
+def with_average_ranks(df: DataFrame, columns: Mapping[str, str], within: Sequence[str]) -> DataFrame:
+    """``df`` with ranks of ``columns`` (new name by column) within groups, ties at their mean.
+
+    Ranks are taken one column after the other by ranges of group and value: no group is one task's."""
+    for name, column in columns.items():
+        # ids aren't needed, as ties share their rank; a hash of the row spreads a frequent value over ranges
+        ranked = with_ranks(df.withColumn("__tie", F.xxhash64(*df.columns)), column, "__tie", within)
+        df = ranked.withColumnRenamed("r_avg", name).drop("__tie", "r_first", "n_ranked", "r_pct", "r_mid")
+    return df
 
 
 def pearson_with(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -45,7 +51,7 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def spearman(long: DataFrame, target: str, by: Sequence[str] = ("feature",)) -> DataFrame:
     """Rank correlation of ``x`` with ``target`` within groups of a long frame; 0 below three rows."""
     rows = long.where(F.col("x").isNotNull() & F.col(target).isNotNull())
-    ranked = rows.withColumns({"__rx": average_rank("x", by), "__ry": average_rank(target, by)})
+    ranked = with_average_ranks(rows, {"__rx": "x", "__ry": target}, by)
     return ranked.groupBy(*by).agg(F.when(F.count("*") < 3, F.lit(0.0)).otherwise(safe_corr("__rx", "__ry")).alias("spearman"))
 
 
@@ -55,27 +61,44 @@ def partial(long: DataFrame, target: str, control: str, by: Sequence[str] = ("fe
     ``rerank_control`` takes the control's ranks too, else its values. Written with correlations of
     the three pairs, so one aggregate suffices."""
     rows = long.where(F.col("x").isNotNull() & F.col(target).isNotNull() & F.col(control).isNotNull())
-    ranked = rows.withColumns({"__rx": average_rank("x", by), "__ry": average_rank(target, by), "__rc": average_rank(control, by) if rerank_control else F.col(control).cast("double")})
+    ranked = with_average_ranks(rows, {"__rx": "x", "__ry": target} | ({"__rc": control} if rerank_control else {}), by)
+    ranked = ranked if rerank_control else ranked.withColumn("__rc", F.col(control).cast("double"))
     sums = ranked.groupBy(*by).agg(safe_corr("__rx", "__ry").alias("xy"), safe_corr("__rx", "__rc").alias("xc"), safe_corr("__ry", "__rc").alias("yc"))
     left = F.sqrt((1 - F.col("xc") * F.col("xc")) * (1 - F.col("yc") * F.col("yc")))
     value = F.when((1 - F.col("xc") * F.col("xc") < 1e-12) | (1 - F.col("yc") * F.col("yc") < 1e-12), 0.0).otherwise(F.try_divide(F.col("xy") - F.col("xc") * F.col("yc"), left))
     return sums.select(*by, F.coalesce(value, F.lit(0.0)).alias("partial"))
 
 
-def partial_of_two(long: DataFrame, target: str, controls: tuple[str, str], by: Sequence[str] = ("feature",)) -> DataFrame:
-    """The same with two controls, by the recursion over the first."""
-    names = {"x": "x", "y": target, "c": controls[0], "d": controls[1]}
-    rows = long.where(" and ".join(f"{c} is not null" for c in names.values()))
-    ranked = rows.withColumns({f"__{k}": average_rank(c, by) for k, c in names.items()})
-    pairs = [("x", "y"), ("x", "c"), ("x", "d"), ("y", "c"), ("y", "d"), ("c", "d")]
-    r = ranked.groupBy(*by).agg(*[safe_corr(f"__{a}", f"__{b}").alias(a + b) for a, b in pairs])
-
-    def given(ab: Column, ac: Column, bc: Column) -> Column:
+def partial_of_many(long: DataFrame, target: str, controls: Sequence[str], by: Sequence[str] = ("feature",)) -> DataFrame:
+    """The same with several controls, taken out one after the other."""
+    names = {"x": "x", "y": target} | {f"c{i}": c for i, c in enumerate(controls)}
+    rows = long.where(" and ".join(f"`{c}` is not null" for c in names.values()))
+    ranked = with_average_ranks(rows, {f"__{k}": c for k, c in names.items()}, by)
+    keys = list(names)
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
+    r = ranked.groupBy(*by).agg(*[safe_corr(f"__{a}", f"__{b}").alias(f"{a}_{b}") for a, b in pairs])
+
+    def given(a: str, b: str, left: Sequence[str]) -> Column:
+        if not left:
+            return F.col(f"{a}_{b}" if (a, b) in pairs else f"{b}_{a}")
+        c, rest = left[-1], left[:-1]
+        ab, ac, bc = given(a, b, rest), given(a, c, rest), given(b, c, rest)
         return F.coalesce(F.try_divide(ab - ac * bc, F.sqrt((1 - ac * ac) * (1 - bc * bc))), F.lit(0.0))
 
-    c = F.col
-    xy, xd, yd = given(c("xy"), c("xc"), c("yc")), given(c("xd"), c("xc"), c("cd")), given(c("yd"), c("yc"), c("cd"))
-    return r.select(*by, given(xy, xd, yd).alias("partial"))
+    return r.select(*by, given("x", "y", keys[2:]).alias("partial"))
+
+
+def partial_of_two(long: DataFrame, target: str, controls: tuple[str, str], by: Sequence[str] = ("feature",)) -> DataFrame:
+    return partial_of_many(long, target, controls, by)
+
+
+def partial_of_fits(long: DataFrame, target: str, control: str, by: Sequence[str] = ("feature",)) -> DataFrame:
+    """Pearson correlation of the residuals of straight-line fits of ``x`` and ``target`` on ``control``, values as they are."""
+    rows = long.where(F.col("x").isNotNull() & F.col(target).isNotNull() & F.col(control).isNotNull())
+    fits = rows.groupBy(*[F.col(k).alias(f"__k_{k}") for k in by]).agg(*[f(*c).alias(n) for n, f, c in (("__bx", F.regr_slope, ("x", control)), ("__ax", F.regr_intercept, ("x", control)), ("__by", F.regr_slope, (target, control)), ("__ay", F.regr_intercept, (target, control)))])
+    joined = rows.join(fits, same(rows, fits, by))
+    left = joined.withColumns({"__rx": F.col("x") - F.col("__ax") - F.col("__bx") * F.col(control), "__ry": F.col(target) - F.col("__ay") - F.col("__by") * F.col(control)})
+    return left.groupBy(*by).agg(safe_corr("__rx", "__ry").alias("partial"))
 
 
 def screen(df: DataFrame, id_col: str, features: Sequence[str], target: str, control: str, least: float = 0.04, prefilter: float = 0.0, rerank_control: bool = True) -> DataFrame:
@@ -123,8 +146,9 @@ def risk(psi_value: Column | None, abs_smd: Column) -> Column:
 def shift_moments(long: DataFrame, is_test: Column) -> DataFrame:
     """Means, variances, SMD and quantile differences (test less train) per feature of a long frame."""
     train, test = F.when(~is_test, F.col("x")), F.when(is_test, F.col("x"))
-    ps = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
-    rows = long.groupBy("feature").agg(F.avg(train).alias("m0"), F.var_pop(train).alias("v0"), F.avg(test).alias("m1"), F.var_pop(test).alias("v1"), F.percentile(train, ps).alias("q0"), F.percentile(test, ps).alias("q1"))
+    rows = long.groupBy("feature").agg(F.avg(train).alias("m0"), F.var_pop(train).alias("v0"), F.avg(test).alias("m1"), F.var_pop(test).alias("v1"))
+    for name, part in (("q0", ~is_test), ("q1", is_test)):
+        rows = rows.join(exact_quantiles(long.where(part), [0.1, 0.5, 0.9]).select("feature", F.col("q").alias(name)), "feature", "left")
     c = F.col
     deltas = [(F.get("q1", F.lit(i)) - F.get("q0", F.lit(i))).alias(f"q{p}_delta") for i, p in enumerate((10, 50, 90))]
     return rows.select("feature", c("m0").alias("train_mean"), c("m1").alias("test_mean"), smd((c("m0"), c("v0")), (c("m1"), c("v1"))).alias("smd"), *deltas)
@@ -136,9 +160,8 @@ def psi(long: DataFrame, is_test: Column, bins: int = 10, floor: float = 1e-6) -
     Bins are (a, b], open at both ends; equal edges are one. With two edges or fewer the range is cut
     evenly. 0 for constant or empty features."""
     rows = long.withColumn("t", is_test).where(F.col("x").isNotNull())
-    train = F.when(~F.col("t"), F.col("x"))
-    cuts = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = rows.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile(train, cuts))).alias("e"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    cuts = exact_quantiles(rows.where("not t"), [i / bins for i in range(bins + 1)]).select("feature", F.array_sort(F.array_distinct("q")).alias("e"))
+    edges = rows.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).join(cuts, "feature")
     even = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / bins)
     edges = edges.where("lo < hi and e is not null").withColumn("e", F.when(F.size("e") > 2, F.col("e")).otherwise(even))
     inner = F.slice("e", 2, F.size("e") - 2)
@@ -154,10 +177,10 @@ def psi(long: DataFrame, is_test: Column, bins: int = 10, floor: float = 1e-6) -
 
 
 def shift_table(df: DataFrame, features: Sequence[str], is_test: Column, bins: int = 10) -> DataFrame:
-    """PSI, SMD, quantile differences and risk per feature."""
+    """PSI, SMD, quantile differences and risk per feature, the largest PSI first, then the largest SMD, then by name."""
     long = unpivot(df.withColumn("__t", is_test), ["__t"], features)
     both = shift_moments(long, F.col("__t")).join(psi(long, F.col("__t"), bins), "feature")
-    return both.withColumn("risk", risk(F.col("psi"), F.abs("smd")))
+    return both.withColumn("risk", risk(F.col("psi"), F.abs("smd"))).orderBy(F.desc("psi"), F.desc(F.abs("smd")), "feature")
 
 
 def transfer(scores: DataFrame, id_col: str, seed: str, base: str, extra: str, label: str, alphas: Sequence[float]) -> DataFrame:
@@ -186,7 +209,7 @@ def transfer(scores: DataFrame, id_col: str, seed: str, base: str, extra: str, l
 
 def quantiles(df: DataFrame, column: str, ps: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles, a row each."""
-    got = df.agg(F.percentile(column, F.array(*[F.lit(float(p)) for p in ps])).alias("q"))
+    got = exact_quantiles(df.select(F.lit(0).alias("feature"), F.col(column).alias("x")), ps)
     return got.select(F.posexplode("q").alias("i", "value")).select(F.get(F.array(*[F.lit(float(p)) for p in ps]), F.col("i")).alias("p"), "value")
 
 

@@ -8,12 +8,13 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .ranks import with_ranks
+from .ranks import exact_quantiles, with_ranks
 
 
 def quartile_thresholds(df: DataFrame, score: str, classes: int = 4) -> list[float]:
     """Linearly interpolated quantiles that cut the scores into equal parts."""
-    return df.agg(F.percentile(score, F.array(*[F.lit(i / classes) for i in range(1, classes)]))).first()[0]
+    found = exact_quantiles(df.select(F.lit(0).alias("feature"), F.col(score).alias("x")), [i / classes for i in range(1, classes)]).first()
+    return found["q"] if found else None
 
 
 def apply_thresholds(score: Column, cuts: Sequence[float], right_closed: bool = True) -> Column:

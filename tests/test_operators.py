@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tessera.operators import aggregates as G, audits as U, cleaning as K, models as M, ranks, relations as J, statistics as T, thresholds as H
@@ -296,3 +297,93 @@ def test_audits(spark):
     audit = U.residual_audit(seeds, "id", "seed", ["x", "z"], "res", F.col("id") % 8 < 4).where("feature = 'x'").first()
     assert audit["signed"] == pytest.approx(1) and audit["sign_agreement"] == 1 and audit["risk"] == "low"
     assert U.seed_vote(seeds, "id", "seed", "x").agg(F.max("spread")).first()[0] == 0
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, None if i % 7 == 0 else "ab"[i % 5 == 0], float(r.integers(0, 4)) if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, x double")
+    got = {x["id"]: x for x in ranks.with_ranks(df, "x", "id", ["g"]).collect()}
+    for g in (None, "a", "b"):
+        own = pd.DataFrame([t for t in rows if t[1] == g and t[2] is not None], columns=["id", "g", "x"])
+        own["avg"], own["first"] = own.x.rank(), own.sort_values(["x", "id"]).x.rank(method="first")
+        for t in own.itertuples():
+            assert (got[t.id]["r_avg"], got[t.id]["r_first"], got[t.id]["n_ranked"]) == (t.avg, t.first, len(own))
+    assert all(got[i]["r_avg"] is None for i, _, x in rows if x is None) and len(got) == 300
+    whole = pd.Series({t[0]: t[2] for t in rows}).rank()
+    assert {x["id"]: x["r_avg"] for x in ranks.with_ranks(df, "x", "id").where("x is not null").collect()} == whole.dropna().to_dict()
+    plan = ranks.with_ranks(df, "x", "id", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "__p" in plan
+
+
+def test_exact_quantiles(spark):
+    r = np.random.default_rng(4)
+    values = {"a": r.normal(size=501), "b": r.integers(0, 5, 40).astype(float), "c": np.array([2.5]), "d": np.full(30, 7.0)}
+    long = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("e", None)], "feature string, x double")
+    ps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {x["feature"]: x for x in ranks.exact_quantiles(long, ps).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert got[k]["q"] == pytest.approx(np.quantile(v, ps).tolist()) and got[k]["n"] == len(v) and got[k]["n_distinct"] == len(set(v))
+    one = T.quantiles(long.where("feature = 'a'"), "x", [0.5, 0.75]).collect()
+    assert [x["value"] for x in one] == pytest.approx(np.quantile(values["a"], [0.5, 0.75]).tolist())
+
+
+def test_mixup_ids_are_new(spark):
+    df = spark.createDataFrame([(i - 5, i % 60, float(i)) for i in range(600)], "id int, y int, x double")
+    ids = [x["id"] for x in J.mixup(df, "id", "y", ["x"], factor=0.5, seed=2).collect()]
+    assert len(ids) == 900 and len(set(ids)) == 900
+
+
+def test_rank_then_z_and_family_blend(spark):
+    rows = [(i, f, s, float((i * 7 + len(f)) % 10) + s) for i in range(20) for f in ("x", "yy") for s in (0, 1)]
+    df = spark.createDataFrame(rows, "id int, family string, seed int, score double")
+    one = pd.DataFrame([t for t in rows if t[1] == "x" and t[2] == 0], columns=["id", "family", "seed", "score"])
+    want = (one.score.rank() - one.score.rank().mean()) / one.score.rank().std(ddof=0)
+    got = ranks.rank_then_z(df.where("family = 'x' and seed = 0"), "score", "id").orderBy("id").toPandas()
+    assert got.rank_z.tolist() == pytest.approx(want.tolist())
+    means = pd.DataFrame(rows, columns=["id", "family", "seed", "score"]).groupby(["family", "id"]).score.mean()
+    z = means.groupby(level=0).transform(lambda v: (v.rank() - v.rank().mean()) / v.rank().std(ddof=0))
+    blend = M.family_rank_blend(df, "id", "family", "seed", "score").orderBy("id").toPandas()
+    assert blend.blend.tolist() == pytest.approx(z.groupby(level=1).mean().tolist())
+
+
+def test_several_classes_from_boosted_trees(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, i % 4, float(i % 4) + 0.1 * float(r.normal()), float(r.normal())) for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, y int, a double, b double")
+    got = M.one_against_rest(df.where("id < 120"), df.where("id >= 120"), ["a", "b"], "y", "id", make=lambda seed: M.classifier("gbt", seed, 3, 2))
+    out = got.join(df, "id").collect()
+    assert len(out) == 40 and all(abs(sum(x["score"]) - 1) < 1e-9 and len(x["score"]) == 4 for x in out)
+    assert np.mean([int(np.argmax(x["score"])) == x["y"] for x in out]) > 0.9
+    grid = M.correction_grid(df.withColumn("pct", F.col("id") / 160), "id", ["a", "b"], "pct", "y", alphas=(1.0, 20.0), kinds=("ridge",), folds=2)
+    assert {x["config"]: x["count"] for x in grid.groupBy("config").count().collect()} == {"ridge-1": 160, "ridge-20": 160}
+
+
+def test_partials(spark):
+    r = np.random.default_rng(6)
+    data = r.normal(size=(90, 5))
+    df = spark.createDataFrame([tuple(map(float, x)) for x in data], "x double, y double, c double, d double, e double")
+    long = T.unpivot(df, ["y", "c", "d", "e"], ["x"])
+    k = data.argsort(0).argsort(0).astype(float)
+    z = np.c_[np.ones(90), k[:, 2:]]
+    res = k[:, :2] - z @ np.linalg.lstsq(z, k[:, :2], rcond=None)[0]
+    assert T.partial_of_many(long, "y", ["c", "d", "e"]).first()["partial"] == pytest.approx(np.corrcoef(res.T)[0, 1])
+    z = np.c_[np.ones(90), data[:, 2]]
+    res = data[:, :2] - z @ np.linalg.lstsq(z, data[:, :2], rcond=None)[0]
+    assert T.partial_of_fits(long, "y", "c").first()["partial"] == pytest.approx(np.corrcoef(res.T)[0, 1])
+
+
+def test_small_operators(spark):
+    df = spark.createDataFrame([(1, 1.0, -4.0, 0), (2, 3.0, 9.0, 1), (3, 3.0, 9.0, 1)], "id int, a double, b double, y int")
+    got = df.select(*[v.alias(k) for k, v in K.unary_terms("b").items()]).collect()
+    assert [tuple(x) for x in got] == [(16.0, 4.0, -2.0), (81.0, 9.0, 3.0), (81.0, 9.0, 3.0)]
+    assert [x[0] for x in df.select(K.log_shifted(df, "a")).collect()] == pytest.approx([np.log(2.0), np.log(4.0), np.log(4.0)])
+    m = {(x["a"], x["b"]): x["r"] for x in T.correlation_matrix(df, ["a", "b"]).collect()}
+    assert m["a", "b"] == pytest.approx(np.corrcoef([1, 3, 3], [-4, 9, 9])[0, 1]) and m["a", "a"] == pytest.approx(1)
+    assert G.duplicate_rows(df, ["a", "b"]).first()["duplicates"] == 2 and G.duplicate_rows(df, ["id"]).first()["duplicates"] == 0
+    s = {x["y"]: x for x in G.score_summary(df, ["y"], "b").collect()}
+    assert (s[1]["mean"], s[1]["std"], s[1]["min"]) == (9.0, 0.0, 9.0)
+    shifted = spark.createDataFrame([(i, float(i), float(i + 50 * (i % 2)), float(i % 3), i % 2 == 1) for i in range(60)], "id int, p double, q double, r double, t boolean")
+    table = T.shift_table(shifted, ["p", "q", "r"], F.col("t")).collect()
+    assert [x["feature"] for x in table] == [x["feature"] for x in sorted(table, key=lambda x: (-x["psi"], -abs(x["smd"]), x["feature"]))] and table[0]["feature"] == "q"
