@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .store import Workspace
+from .store import Workspace, free
 
 U64 = np.uint64
 #: Six chosen words each; the first is contiguous and finds every run of six equal words. Together they hit
@@ -31,6 +31,11 @@ _FILTER_BITS = 22
 _up = np.array([pow(0xD1342543DE82EF95, i, 1 << 64) for i in range(64)], U64)
 
 
+def hits_name(columns: list[str]) -> str:
+    """The name of ``mark``'s array beside such columns."""
+    return free("_d_hits", columns)
+
+
 def _positions(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
@@ -123,27 +128,26 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
     Words are runs of characters other than ASCII punctuation and spaces, A-Z as a-z. Null and empty texts
     and items have no hits, equal items are found under each id, null ids as null. Of an item's equally good overlaps that at
-    the smallest shift is shown. Rows that repeat are marked each; other columns pass as they are (``_d_text`` and ``_d_hits``
-    are names of this function: an input that has them is refused).
+    the smallest shift is shown. Rows that repeat are marked each; other columns pass as they are. Where one begins with ``_d_hits``
+    the array's name is another, ``hits_name(docs.columns)``.
 
     A benchmark of up to ``INDEX_BYTES`` is broadcast as an index and nothing is shuffled. Seeds of a larger one are
     joined with those of distinct texts, and pairs of text and item that share one are verified."""
-    if taken := {"_d_text", "_d_hits"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(taken)} are names of this function")
+    hit_column, text_column = hits_name(docs.columns), free("_d_text", docs.columns)
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     carry = docs.columns if carry is None else carry
     kind = items.schema["item"].dataType
     arrow = pa.int64() if kind.typeName() in ("long", "integer", "short", "byte") else pa.string()
     hits = f"array<struct<item:{'bigint' if arrow == pa.int64() else 'string'},start:bigint,end:bigint,words:bigint,equal:bigint>>"
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > INDEX_BYTES:
-        return _joined(docs, items, text, carry, hits, min_words, min_identity)
+        return _joined(docs, items, text, carry, hits, hit_column, min_words, min_identity)
     rows = items.collect()
     index = docs.sparkSession.sparkContext.broadcast(Index.build([r["item"] for r in rows], [r["text"] for r in rows], min_identity))
-    out = docs.select(*carry, F.col(text).alias("_d_text"), F.expr(f"cast(array() as {hits})").alias("_d_hits"))
-    return out.mapInArrow(_finder(index, min_words, min_identity, arrow), out.schema).drop("_d_text")
+    out = docs.select(*carry, F.col(text).alias(text_column), F.expr(f"cast(array() as {hits})").alias(hit_column))
+    return out.mapInArrow(_finder(index, min_words, min_identity, arrow), out.schema).drop(text_column)
 
 
-def _joined(docs: DataFrame, items: DataFrame, text: str, carry: list[str], hits: str, min_words: int, min_identity: float) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, text: str, carry: list[str], hits: str, hit_column: str, min_words: int, min_identity: float) -> DataFrame:
     """``mark`` by a distributed join of seeds. Texts and items stand for themselves by a digest, equal ones once."""
     ws = Workspace(docs.sparkSession, "decontamination")
     body, digest = F.col(text), F.unhex(F.md5(F.col(text).cast("binary")))
@@ -194,9 +198,10 @@ def _joined(docs: DataFrame, items: DataFrame, text: str, carry: list[str], hits
     both = pairs.join(wanted, "t").join(named.select("b", F.col("text").alias("itext")).dropDuplicates(["b"]), "b")
     found = both.select("t", "b", "text", "itext").mapInArrow(verify, "t binary, b binary, start long, end long, words long, equal long")
     found = found.join(named.select("item", "b"), "b").select("t", F.struct("item", "start", "end", "words", "equal").alias("h"))
-    found = ws.save(found.groupBy("t").agg(F.sort_array(F.collect_list("h")).cast(hits).alias("_d_hits")), "hits")
-    out = docs.select(*carry, digest.alias("_d_text")).join(found, F.col("_d_text") == F.col("t"), "left")
-    return out.select(*carry, F.coalesce("_d_hits", F.expr(f"cast(array() as {hits})")).alias("_d_hits"))
+    found = ws.save(found.groupBy("t").agg(F.sort_array(F.collect_list("h")).cast(hits).alias("h")), "hits")
+    plain = {c: f"c{i}" for i, c in enumerate(carry)}  # names that can't clash with those of the hits
+    out = docs.select(*[F.col(c).alias(n) for c, n in plain.items()], digest.alias("d")).join(found, F.col("d") == F.col("t"), "left")
+    return out.select(*[F.col(n).alias(c) for c, n in plain.items()], F.coalesce("h", F.expr(f"cast(array() as {hits})")).alias(hit_column))
 
 
 def _finder(index, min_words: int, min_identity: float, arrow: pa.DataType):
@@ -206,10 +211,10 @@ def _finder(index, min_words: int, min_identity: float, arrow: pa.DataType):
         ix: Index = index.value
         for batch in batches:
             found: dict[int, dict[int, dict]] = {}
-            for a, _, data, offsets in V.chunks(batch.column(batch.schema.get_field_index("_d_text"))):
+            for a, _, data, offsets in V.chunks(batch.column(batch.num_columns - 2)):
                 w = V.words(data, offsets, V.PUNCTUATION)
                 found |= {a + doc: v for doc, v in _best(ix, w, data, offsets, min_words, min_identity).items()}
-            at = batch.schema.get_field_index("_d_hits")
+            at = batch.num_columns - 1
             hits = pa.array([[h for _, h in sorted(found.get(i, {}).items())] for i in range(batch.num_rows)], shape)
             yield pa.RecordBatch.from_arrays([c if i != at else hits for i, c in enumerate(batch.columns)], batch.schema.names)
 

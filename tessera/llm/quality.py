@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace
+from .store import Workspace, free
 
 #: Fixed patterns: words, white space and symbols.
 WORD, SPACE, SYMBOL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
@@ -95,14 +95,19 @@ def host_verdicts(rows: DataFrame, host: str, failed: Column, max_rate: float =
     return hosts.withColumn("rate", rate).withColumn("host_bad", F.col("rate") > max_rate)
 
 
+def prefix(columns: list[str]) -> str:
+    """What the names of ``judge``'s own columns begin with: ``_q_``, or with more underscores where a column of the input does."""
+    return free("_q_", columns)
+
+
 def judge(docs: DataFrame, host: str = "source", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (all by default) of every row of ``docs``, with columns ``_q_*``: the
     metrics, ``_q_base_failed``, ``_q_major_failed``, ``_q_minor``, ``_q_host_rate``, ``_q_host_bad`` and ``_q_kept``.
 
     Whole texts are read; null or empty texts have no words and fail. Repeated rows and rows with
-    null keys are judged each for itself; an empty table gives an empty one. The prefix keeps
-    clear of the documents' own names."""
-    p = "_q_"
+    null keys are judged each for itself; an empty table gives an empty one. Where columns of ``docs`` begin with ``_q_``
+    the prefix is another, that of ``prefix(docs.columns)``."""
+    p = prefix(docs.columns)
     ws = Workspace(docs.sparkSession, "quality")
     measured = with_metrics(docs, text, p).withColumns({f"{p}host": F.col(host), f"{p}base_failed": base_failed(p), f"{p}major_failed": major_failed(p), f"{p}minor": minor_failures(p)})
     names = [f"{p}{x}" for x in (*METRICS, "n_lines", "host", "base_failed", "major_failed", "minor")]

@@ -14,6 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_dir
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, or with as many underscores before it as no column's name begins with (capitals don't tell names apart)."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 class Workspace:
     """Tables of one run of an operator, each in a folder of its own name."""
 

@@ -795,8 +795,20 @@ def test_near_dedup_of_repeated_and_missing_ids(spark):
 def test_pipeline_of_odd_rows(spark, sf_dir, odd):
     import corpus_pipeline as cp
 
-    for _, stage in cp.STAGES:
-        stage(spark, odd, sf_dir).collect()
+    clash = ("_q_kept", "_q_n_words", "_d_text", "_d_hits", "_m_text", "_copy", "size", "kept_id", "t", "h")
+    rich = odd.withColumns({c: F.lit(5) for c in clash})
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    for i, (name, stage) in enumerate(cp.STAGES):
+        plain, wide = stage(spark, odd, sf_dir), stage(spark, rich, sf_dir)
+        if i < 4:
+            assert plain.columns == odd.columns and wide.columns == rich.columns, name
+            assert texts(plain) == texts(wide), name
+            assert all(r[c] == 5 for r in wide.collect() for c in clash)
+        else:
+            assert plain.count() == wide.count() == odd.count()
+    kept = texts(cp.quality_rules(spark, odd, sf_dir))
+    assert kept and all(len((t or "").split()) >= 50 for _, t in kept)
+    assert texts(cp.decontaminate(spark, odd, sf_dir)) == texts(odd)
 
 
 def test_pipeline_of_an_empty_table(spark, sf_dir, docs):
