@@ -17,7 +17,7 @@ from tessera.llm.store import Workspace
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
-    return quality.judge(docs).where("_q_kept").select(*docs.columns)
+    return quality.judge(docs).where(f"{quality.prefix(docs.columns)}kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat an id one stays for each text (its words, A-Z as a-z). Rows without an id have no near
     copies; one stays of each text that no row with an id has. Texts without words are copies only under one id."""
-    kept = neardup.near_duplicates(docs, k=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows, unnamed = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi"), docs.where("doc_id is null")
+    kept = neardup.near_duplicates(docs, k=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("_n_kept")).distinct()
+    rows, unnamed = docs.join(kept, docs["doc_id"] == kept["_n_kept"], "left_semi"), docs.where("doc_id is null")
     several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_n_id"))
     words = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " ")
     text = F.sha2(F.trim(words), 256).alias("_n_text")
@@ -45,12 +45,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.mark(docs, benchmark).where(F.size("_d_hits") == 0).select(*docs.columns)
+    return decontam.mark(docs, benchmark).where(F.size(decontam.hits_name(docs.columns)) == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, parts of a pass counted as one; names keep clear of the mix's own."""
-    named = docs.withColumnsRenamed({c: f"_m_{c}" for c in docs.columns})
+    named = docs.select(*[F.col(c).alias(f"_m_{c}") for c in docs.columns])
     others = [c for c in named.columns if c != "_m_doc_id"]
     mixed = mixing.mix(named, key="_m_doc_id", text="_m_text", source="_m_source", carry=others).where("taken > 0")
     copies = F.sequence(F.lit(1), F.ceil(F.try_divide("taken", "size")).cast("int"))
