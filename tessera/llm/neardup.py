@@ -143,6 +143,28 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, items array<long>")
 
 
+#: Most cells of the filter that ``among`` lays before its join: 4 MB, whatever the input.
+FILTER_CELLS = 1 << 25
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``id`` is in ``ids`` (distinct).
+
+    Where ``ids`` are too many to broadcast a join deals out every row of ``docs``, texts and all, though few are asked for. A
+    filter of one bit for each hashed id, 16 to 32 cells an id up to FILTER_CELLS, stops most others before; the join decides.
+    Collated ids can be equal and have other hashes: they have no filter."""
+    if "collate" in docs.schema["id"].dataType.simpleString():
+        return docs.join(ids, "id", "left_semi")
+    cells = min(FILTER_CELLS, max(1 << 10, 1 << (16 * ids.count()).bit_length()))
+    cell = F.shiftrightunsigned(F.xxhash64("id"), 65 - cells.bit_length())
+    word, at = F.shiftright(cell, 6).cast("int"), cell.bitwiseAND(F.lit(63)).cast("int")
+    given = ids.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at).alias("bits"))
+    every = ids.sparkSession.range(cells >> 6).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("bits"))
+    words = given.unionByName(every).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    table = words.agg(F.sort_array(F.collect_list(F.struct("w", "bits"))).getField("bits"))
+    return docs.where(F.getbit(F.get(table.scalar(), word), at) == 1).join(ids, "id", "left_semi")
+
+
 def collisions(reps: DataFrame) -> DataFrame:
     """``id`` and key ``k`` of every band."""
     kind = reps.schema["id"].dataType.simpleString()
@@ -323,7 +345,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     reps = ws.save(base.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("regs").alias("regs")), "reps")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        return sets(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi"), k)
+        return sets(among(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids), k)
 
     names = reps.select("s1", "s2", "n", F.col("id").alias("rep"))
     rows = ws.save(base.select("id", "n", "s1", "s2").join(names, ["s1", "s2", "n"], "left").select("id", "n", "rep"), "rows")

@@ -303,6 +303,46 @@ def test_prefix_joins_lose_no_link(spark):
     assert len(links) > 50 and links <= got and len(got) < 3 * len(links)
 
 
+def shuffled(spark):
+    """Bytes that the application's stages have written for others to read."""
+    gateway = spark.sparkContext._gateway
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_texts_that_no_pair_asks_for_are_not_shuffled(spark):
+    r = np.random.default_rng(14)
+    rows = [(i, " ".join(f"{x:x}" for x in r.integers(0, 2**62, 1500))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(5)]
+    table, whole = spark.createDataFrame(rows, "doc_id long, text string"), sum(len(t) for _, t in rows)
+    before, held = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert sum(v for k, v in shuffled(spark).items() if k not in before) < 0.6 * whole
+
+
+@pytest.mark.parametrize("kind, ids", [("long", [*range(-300, 300)]), ("string", [f"k{i}" for i in range(600)]), ("double", [0.0, float("nan"), float("inf"), *[i / 7 for i in range(1, 600)]])])
+def test_among_keeps_every_row_asked_for(spark, kind, ids, monkeypatch):
+    docs = spark.createDataFrame([(i, str(n)) for n, i in enumerate([*ids, None, *([-0.0] if kind == "double" else [])])], f"id {kind}, text string")
+    for cells in (neardup.FILTER_CELLS, 64):  # far too few cells let rows through, which the join stops
+        monkeypatch.setattr(neardup, "FILTER_CELLS", cells)
+        for wanted in (ids[::3], [], ids):
+            asked = spark.createDataFrame([(i,) for i in wanted], f"id {kind}")
+            got, want = (sorted(x["text"] for x in t.collect()) for t in (neardup.among(docs, asked), docs.join(asked, "id", "left_semi")))
+            assert got == want and len(got) >= len(wanted)
+
+
+def test_among_knows_collated_ids(spark):
+    docs = spark.range(100).selectExpr("cast(concat('K', id) as string collate UTF8_LCASE) as id", "cast(id as string) as text")
+    asked = docs.where("text < '3'").selectExpr("lower(id) as id")
+    assert neardup.among(docs, asked).count() == asked.count() > 10
+
+
 def thue_morse(n):
     """Two words that agree under every polynomial hash modulo 2 ** 64."""
     bits = [bin(i).count("1") & 1 for i in range(n)]
