@@ -6,8 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranks import places_within, with_positions
+from .vectors import packer, searcher
+
+#: Blocks of vectors in a partition: a task holds so many of one side in memory, 0.5 MB each (64 floats, 2,048 rows).
+PARTITION_BLOCKS = 32
 
 
 def zip_by_id(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
@@ -37,21 +42,27 @@ def overlap(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFr
 
 
 def nearest(train: DataFrame, test: DataFrame, id_col: str, vector: str, block: int = 2048) -> DataFrame:
-    """Nearest row of ``train`` for every row of ``test`` by Euclidean distance, the smallest id on ties.
-
-    ``train`` is the reference set: its rows are taken in blocks of ``block``, each block goes to all of ``test``
-    in one pass, and the best over blocks is kept."""
-    n = train.count()
-    blocks = max(1, -(-n // block))
-    best = None
-    for i in range(blocks):
-        part = train.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector).alias("v"))).alias("__part"))
-        rows = test.crossJoin(F.broadcast(part))  # one row of about ``block`` vectors
-        far = lambda v: F.aggregate(F.zip_with(v, F.col(vector), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-        found = F.array_min(F.transform("__part", lambda p: F.struct(F.sqrt(far(p["v"])).alias("dist"), p["id"].alias("id"))))
-        one = rows.select(id_col, found.alias("b"))
-        best = one if best is None else best.unionByName(one)
-    return best.groupBy(id_col).agg(F.min("b").alias("b")).select(id_col, F.col("b.id").alias("nn_id"), F.col("b.dist").alias("dist"))
+    """Nearest row of ``train`` for every row of ``test`` by Euclidean distance, the smallest id on ties; no row if ``train`` is empty.
+
+    Places that one of two vectors lacks are left out of their distance; where they share none it is null, which comes after NaN, the
+    largest number. Both sides are packed into blocks of up to ``block`` rows; every two blocks meet in a matrix product
+    (``operators/vectors.py``) and the best over blocks is kept."""
+    floats = all(isinstance(x.schema[vector].dataType.elementType, T.FloatType) for x in (train, test))
+    dtype, element = ("<f4", "float") if floats else ("<f8", "double")
+    kind = lambda x: x.schema[id_col].dataType.simpleString()
+
+    def packed(df: DataFrame, once: bool) -> DataFrame:
+        blocks = max(1, -(-df.count() // block))
+        parts = max(min(blocks, df.sparkSession.sparkContext.defaultParallelism), -(-blocks // PARTITION_BLOCKS))
+        rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast(f"array<{element}>").alias("v")).repartition(parts)
+        rows = (rows.sortWithinPartitions("id") if once else rows).mapInArrow(packer(block, dtype, once), f"ids array<{kind(df)}>, width int, v binary, missing binary")
+        return rows.withColumn("k", F.monotonically_increasing_id()).repartition(parts)  # written once, read by many tasks
+
+    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    pairs = side(packed(test, False), "a").crossJoin(side(packed(train, True), "b").drop("b_k").hint("shuffle_replicate_nl"))
+    found = pairs.mapInArrow(searcher(dtype), f"id {kind(test)}, none boolean, dist double, nn {kind(train)}")
+    best = found.groupBy("id").agg(F.min(F.struct("none", "dist", "nn")).alias("b"))
+    return best.select(F.col("id").alias(id_col), F.col("b.nn").alias("nn_id"), F.when(~F.col("b.none"), F.col("b.dist")).alias("dist"))
 
 
 def compare_predictions(old: DataFrame, new: DataFrame, id_col: str, label: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from tessera.operators import aggregates as G, audits as U, cleaning as K, models as M, ranks, relations as J, statistics as T, thresholds as H
+from tessera import catalog
+from tessera.operators import aggregates as G, audits as U, cleaning as K, models as M, ranks, relations as J, statistics as T, thresholds as H, vectors
 from tessera.plans import features as P
 from tessera.sources import files, series
 
@@ -147,6 +151,47 @@ def test_nearest_in_blocks(spark):
         assert got[i][0] == int(np.argmin(far)) and got[i][1] == pytest.approx(min(far))
 
 
+def test_nearest_plan_is_one_whatever_the_blocks(spark):
+    rows = spark.range(60).select("id", F.array(F.sin("id"), F.cos("id")).alias("v"))
+    lines = [len(J.nearest(rows, rows, "id", "v", block=b)._jdf.queryExecution().executedPlan().toString().splitlines()) for b in (3, 100)]
+    assert lines[0] == lines[1]
+
+
+def test_nearest_measures_few_pairs(monkeypatch):
+    pairs, measure = [], vectors._Best._measure
+    monkeypatch.setattr(vectors._Best, "_measure", lambda self, right, d, i, j: pairs.append(len(i)) or measure(self, right, d, i, j))
+    v = np.random.default_rng(2).normal(size=(3000, 64)).astype("<f4")
+    v[2000:] += 1000  # far from the origin differences are small beside the vectors
+    v[1000:1500] = v[1500:2000]
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array(list(v[a:b]), pa.list_(pa.float32()))], ["id", "v"])
+    side = lambda p, x: [pa.RecordBatch.from_arrays(y.columns, [f"{p}_{c}" for c in y.schema.names]) for y in x]
+    test, train = batch(2400, 3000), batch(0, 2400)
+    b = side("b", vectors.packer(700, "<f4", True)(iter([train])))
+    a = side("a", vectors.packer(700, "<f4", False)(iter([test])))[0]
+    both = (pa.RecordBatch.from_arrays([*a.columns, pa.array([0]), *x.columns], [*a.schema.names, "a_k", *x.schema.names]) for x in b)
+    got = pa.Table.from_batches(vectors.searcher("<f4")(both)).to_pandas().sort_values(["id", "dist", "nn"]).drop_duplicates("id")
+    far = np.linalg.norm(v[2400:, None].astype(float) - v[None, :2400], axis=2)
+    assert list(got.nn) == list(far.argmin(axis=1)) and np.allclose(got.dist, far.min(axis=1)) and sum(pairs) < 600 * 2400 / 50
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_nearest_of_odd_rows_equals_sql(spark, tmp_path, block):
+    r, nan, inf = np.random.default_rng(3), float("nan"), float("inf")
+    whole = [[float(np.float32(x)) for x in r.normal(size=64)] for _ in range(12)]
+    odd = [None, [], [None] * 64, [None] * 9 + whole[0][9:], whole[1][:5], [nan] * 64, [inf] + whole[2][1:], [-inf] + whole[2][1:], [3e38] * 64, [1e-30] * 64, [0.0] * 64, [-0.0] * 64]
+    cells = whole + odd + whole + odd  # tests and others of equal vectors
+    ids = [i if i < 24 else 4 - i for i in range(48)]
+    for name, rows in (("odd", [*zip(ids, cells), (5, whole[3]), (1, whole[4]), (None, whole[5])]), ("null", [(0, whole[0]), (5, None), (1, None), (2, None)]), ("unmet", [(0, whole[0]), (5, whole[1])])):
+        (tmp_path / name).mkdir()
+        pq.write_table(pa.table({"vec_id": pa.array([x for x, _ in rows], pa.int64()), "embedding": pa.array([x for _, x in rows], pa.list_(pa.float32()))}), tmp_path / name / "embeddings.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/{name}/embeddings.parquet'")
+        df, test = spark.read.parquet(f"{tmp_path}/{name}/embeddings.parquet"), F.pmod("vec_id", F.lit(5)) == 0
+        got = J.nearest(df.where(~test), df.where(test), "vec_id", "embedding", block).select("vec_id", "nn_id", F.round("dist", 9))
+        want = con.execute(catalog.ORACLES["nearest_neighbor"]).fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_mixup(spark):
     rows = [(i, i % 4, float(i), float(i % 3), i % 5, 5) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, y int, x double, c double, done int, given int")
