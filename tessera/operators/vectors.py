@@ -1,7 +1,7 @@
 """Exact nearest rows between packed blocks of vectors, by matrix products.
 
-A product gives a lower bound of each squared distance, below it by more than rounding can be off; pairs whose bound doesn't exceed
-the best distance so far are measured place by place. Rows that a product can't bound (missing, infinite or vast
+A product gives a lower bound of each squared distance, below it by more than rounding can be off (single precision, or double where
+that tells too little); pairs whose bound doesn't exceed the best distance so far are measured place by place. Rows that a product can't bound (missing, infinite or vast
 numbers) are measured against all.
 """
 
@@ -16,8 +16,10 @@ import pyarrow.compute as pc
 
 #: Bytes of a block's matrix, whatever its number of rows; rows of a block that one product takes; pairs measured at once.
 BLOCK_BYTES, STRIP, PAIRS = 4 << 20, 256, 1 << 14
-#: A squared length beyond which differences may overflow, and what underflow may take from a sum of squares.
-VAST, TINY = 1e300, 1e-290
+#: Squared lengths beyond which sums may overflow, in double and single precision, and what underflow may take from a sum.
+VAST, VAST_SINGLE, TINY = 1e300, 1e30, {np.float32: 1e-30, np.float64: 1e-290}
+#: Pairs to be measured per row beyond which single precision tells too little, and the product is taken in double.
+MANY = 8
 #: Kinds of distance, in their order: a number, NaN, none (no place that both rows have), no row met.
 NAN, NONE, UNMET = 1, 2, 3
 
@@ -118,31 +120,36 @@ class _Best:
         i, j, kind, dist = i[first], j[first] + self.size, kind[first], dist[first]
         same = (kind == self.kind[i]) & (dist == self.dist[i])
         better = (kind < self.kind[i]) | (kind == self.kind[i]) & (dist < self.dist[i])
-        ties.append((i[same], j[same]))
+        ties.append((i[same], j[same], kind[same], dist[same]))
         i, j, kind, dist = i[better], j[better], kind[better], dist[better]
         self.kind[i], self.dist[i], self.at[i] = kind, dist, j
 
-    def meet(self, right: _Block) -> list:
-        """Take the rows of another block into account; places of ties that are left to be decided by id."""
+    def meet(self, right: _Block) -> tuple[np.ndarray, np.ndarray]:
+        """Take the rows of another block into account; rows as near as the best, which are left to be decided by id."""
         left, ties, d = self.left, [], min(self.left.v.shape[1], right.v.shape[1])
         (na, fa), (nb, fb) = left.lengths(d), right.lengths(d)
-        slack = 8 * (d + 8) * np.finfo(float).eps
         rows, columns = np.flatnonzero(fa), np.flatnonzero(fb)
         if len(rows) and len(columns):
-            b = np.column_stack([right.v[columns, :d], nb[columns] * (1 - slack)]).T
+            single = max(na[rows].max(), nb[columns].max()) < VAST_SINGLE
+            sides: dict = {}
             for p in range(0, len(rows), STRIP):
                 i = rows[p : p + STRIP]
-                low = np.column_stack([-2 * left.v[i, :d], np.ones(len(i))]) @ b
-                base = na[i] * (1 - slack)
-                limit = lambda k, x: np.where(k == 0, x * x * (1 + slack) + TINY, np.inf)
-                bound = limit(self.kind[i], self.dist[i]) - base
-                hit = np.flatnonzero(low.min(axis=1) <= bound)
-                if not len(hit):
-                    continue
-                low, i = low[hit], i[hit]
-                bound = np.minimum(bound[hit], limit(*self._measure(right, d, i, columns[low.argmin(axis=1)])) - base[hit])
-                x, y = np.nonzero(low <= bound[:, None])
-                self._offer(right, d, i[x], columns[y], ties)
+                for real in (np.float32, np.float64) if single else (np.float64,):
+                    slack = 8 * (d + 8) * float(np.finfo(real).eps)
+                    if real not in sides:
+                        sides[real] = np.column_stack([right.v[columns, :d], nb[columns] * (1 - slack)]).astype(real).T
+                    low = np.column_stack([-2 * left.v[i, :d], np.ones(len(i))]).astype(real) @ sides[real]
+                    limit = lambda k, x: np.where(k == 0, x * x * (1 + slack) + TINY[real], np.inf) - na[i] * (1 - slack)  # noqa: B023, E731
+                    bound = limit(self.kind[i], self.dist[i]).astype(real)
+                    hit = np.flatnonzero(low.min(axis=1) <= bound)
+                    low, i, bound = low[hit], i[hit], bound[hit]
+                    if not len(hit):
+                        break
+                    bound = np.minimum(bound, limit(*self._measure(right, d, i, columns[low.argmin(axis=1)])).astype(real))
+                    x, y = np.nonzero(low <= bound[:, None])
+                    if real is np.float64 or len(x) <= MANY * len(i):
+                        self._offer(right, d, i[x], columns[y], ties)
+                        break
         everyone = np.arange(len(right.ids))
         for those, others in ((np.flatnonzero(~fa), everyone), (rows, np.flatnonzero(~fb))):
             step = max(1, PAIRS // max(1, len(others)))
@@ -151,7 +158,9 @@ class _Best:
                 self._offer(right, d, np.repeat(i, len(others)), np.tile(others, len(i)), ties)
         self.seen.append(right.ids)
         self.size += len(right.ids)
-        return ties
+        i, j, kind, dist = (np.concatenate(t) for t in zip(*ties)) if ties else [np.zeros(0, np.int64)] * 4
+        still = (kind == self.kind[i]) & (dist == self.dist[i])
+        return i[still], j[still]
 
     def rows(self, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         kind = self.kind[i]
@@ -173,8 +182,8 @@ def searcher(dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                         if best is not None:
                             yield best.rows(np.arange(len(best.kind)), best.at)
                         best, now = _Best(_Block(x, r, "a", dtype)), k
-                    ties = [np.concatenate(t) for t in zip(*best.meet(_Block(x, r, "b", dtype)))]
-                    if ties and len(ties[0]):
+                    ties = best.meet(_Block(x, r, "b", dtype))
+                    if len(ties[0]):
                         yield best.rows(*ties)
             if best is not None:
                 yield best.rows(np.arange(len(best.kind)), best.at)

@@ -157,23 +157,33 @@ def test_nearest_plan_is_one_whatever_the_blocks(spark):
     assert lines[0] == lines[1]
 
 
-def test_nearest_measures_few_pairs(monkeypatch):
+def searched(test, train, block):
+    """Best rows of ``vectors.searcher`` for (id, vector) rows that are packed in the order given."""
+    batch = lambda rows: iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([v for _, v in rows], pa.list_(pa.float32()))], ["id", "v"])])
+    side = lambda p, x: [pa.RecordBatch.from_arrays(y.columns, [f"{p}_{c}" for c in y.schema.names]) for y in x]
+    b, a = side("b", vectors.packer(block, "<f4", True)(batch(train))), side("a", vectors.packer(len(test), "<f4", False)(batch(test)))[0]
+    both = (pa.RecordBatch.from_arrays([*a.columns, pa.array([0]), *x.columns], [*a.schema.names, "a_k", *x.schema.names]) for x in b)
+    return pa.Table.from_batches(vectors.searcher("<f4")(both)).to_pandas().sort_values(["id", "dist", "nn"]).drop_duplicates("id")
+
+
+@pytest.mark.parametrize("far_off", [0, 1000])
+def test_nearest_measures_few_pairs(monkeypatch, far_off):
     pairs, measure = [], vectors._Best._measure
     monkeypatch.setattr(vectors._Best, "_measure", lambda self, right, d, i, j: pairs.append(len(i)) or measure(self, right, d, i, j))
     v = np.random.default_rng(2).normal(size=(3000, 64)).astype("<f4")
-    v[2000:] += 1000  # far from the origin differences are small beside the vectors
+    v[2000:] += far_off  # differences are small beside the vectors
     v[1000:1500] = v[1500:2000]
-    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array(list(v[a:b]), pa.list_(pa.float32()))], ["id", "v"])
-    side = lambda p, x: [pa.RecordBatch.from_arrays(y.columns, [f"{p}_{c}" for c in y.schema.names]) for y in x]
-    test, train = batch(2400, 3000), batch(0, 2400)
-    b = side("b", vectors.packer(700, "<f4", True)(iter([train])))
-    a = side("a", vectors.packer(700, "<f4", False)(iter([test])))[0]
-    both = (pa.RecordBatch.from_arrays([*a.columns, pa.array([0]), *x.columns], [*a.schema.names, "a_k", *x.schema.names]) for x in b)
-    got = pa.Table.from_batches(vectors.searcher("<f4")(both)).to_pandas().sort_values(["id", "dist", "nn"]).drop_duplicates("id")
+    rows = list(enumerate(v))
+    got = searched(rows[2400:], rows[:2400], 700)
     far = np.linalg.norm(v[2400:, None].astype(float) - v[None, :2400], axis=2)
     assert list(got.nn) == list(far.argmin(axis=1)) and np.allclose(got.dist, far.min(axis=1)) and sum(pairs) < 600 * 2400 / 50
 
 
+def test_nearest_tie_that_a_row_of_its_block_beats():
+    got = searched([(0, [1.0] * 4)], [(1, [2.0] * 4), (2, [9.0] * 4), (3, [2.0] * 4), (4, [1.5])], 2)
+    assert (list(got.nn), list(got.dist)) == ([4], [0.5])
+
+
 @pytest.mark.parametrize("block", [3, 2048])
 def test_nearest_of_odd_rows_equals_sql(spark, tmp_path, block):
     r, nan, inf = np.random.default_rng(3), float("nan"), float("inf")
